@@ -42,7 +42,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", None, 20),
     Rule("exclamations", "n_exclaims", "n_words", None, 30),
     Rule("stop_words", "n_stop_words", "n_words", 3, None),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 30),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 50),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
 )

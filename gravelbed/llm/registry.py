@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import exact_dedup, quality_rules
 
 _QUERIES = {
+    "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 _SQL = {
+    "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
 }
 
