@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_rules, simhash
 
 _QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
