@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules, simhash
+from . import exact_dedup, quality_rules, simhash, toxicity
 
 _QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op1_simhash": simhash.op1_simhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
