@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules, simhash, toxicity
+from . import exact_dedup, mixing, pieces, quality_rules, simhash, toxicity
 
 _QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op9_pieces": pieces.op9_pieces,
     "op5_toxicity": toxicity.op5_toxicity,
     "op1_simhash": simhash.op1_simhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
