@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, quality_rules, simhash, toxicity
+from . import exact_dedup, mixing, pieces, quality_rules, repeats, simhash, toxicity
 
 _QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -10,6 +10,7 @@ _QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op1_simhash": simhash.op1_simhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_suffix_dedup": repeats.op7_suffix_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
