@@ -56,6 +56,12 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) by batches of a bounded number of bytes, as whole texts may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return df.mapInArrow(run, schema)
+
+
 def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import mapped, shuffle_partitions, written
 
 DIGESTS = "doc_id long, digest binary, n_bytes long"
 ENTRIES = "digest binary, n_bytes long, keep_id long, group_size long"
@@ -116,7 +116,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "digest", "n_bytes"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(digest, DIGESTS)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), digest, DIGESTS)
 
 
 def _folded(rows: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _folded(rows: DataFrame) -> DataFrame:
             t = t.select(["digest", "n_bytes", "doc_id_max", "count_all"]).rename_columns(["digest", "n_bytes", "keep_id", "group_size"])
             yield from t.to_batches()
 
-    return rows.select("doc_id", "digest", "n_bytes").mapInArrow(fold, ENTRIES)
+    return mapped(rows.select("doc_id", "digest", "n_bytes"), fold, ENTRIES)
 
 
 def _merge(batches):
@@ -182,7 +182,7 @@ def apply(index: DataFrame | None, inserted: DataFrame | None = None, deleted: D
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return rows.repartition(buckets or shuffle_partitions(rows.sparkSession), "digest").mapInArrow(_merge, CHANGED)
+    return mapped(rows.repartition(buckets or shuffle_partitions(rows.sparkSession), "digest"), _merge, CHANGED)
 
 
 def refreshed(index: DataFrame, live: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from .common import mapped
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words kept in a worker's cache, and positions searched at once.
 CACHE, POSITIONS = 200_000, 100_000
@@ -203,7 +205,7 @@ def encoded(docs: DataFrame, pieces: Pieces | None = None, text: str = "text") -
                 ids, sizes = encoder.encode([x or "" for x in part.column(text).to_pylist()])
                 yield pa.record_batch([*part.columns, _lists(ids, sizes), pa.array(sizes)], names=[*keep, "tokens", "n_tokens"])
 
-    return own.mapInArrow(run, schema)
+    return mapped(own, run, schema)
 
 
 def decoded(rows: DataFrame, pieces: Pieces | None = None) -> DataFrame:
@@ -219,7 +221,7 @@ def decoded(rows: DataFrame, pieces: Pieces | None = None) -> DataFrame:
                 texts = [decode(p, x or ()) for x in part.column("tokens").to_pylist()]
                 yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
-    return own.mapInArrow(run, schema)
+    return mapped(own, run, schema)
 
 
 def op9_pieces(spark, sf_dir: str) -> DataFrame:

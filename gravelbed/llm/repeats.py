@@ -12,8 +12,12 @@ depth are exactly the repeated windows.
 * First digit: the anchor's gram. Runs whose gram occurs once are unique and leave.
 * Second digit: all bytes of the run (128-bit digest). In a group of equal runs all but the
   first are repeats as a whole.
-* Third digit: where a gram has several different runs (the edges of repeated passages),
-  the first of each is taken apart into its single windows, dealt by their own digests.
+* Third digit: where a gram has several different runs (the edges of repeated passages), the
+  first of each is cut into blocks of BLOCK windows at fixed offsets from the anchor. The bytes
+  that all windows of a block share are the digit; a block that has it alone is unique and
+  leaves, and blocks equal as a whole are repeats like equal runs.
+* Last digit: blocks that still differ are taken apart into single windows, dealt by their
+  own digests.
 
 A group is only counted and its first member taken, with map-side combining, and the members
 meet that one row in a join, so a passage that a third of all rows share is no group of rows.
@@ -21,8 +25,8 @@ meet that one row in a join, so a passage that a third of all rows share is no g
 Nulls: a null text is empty. A null doc_id sorts before all others. Rows of one doc_id with
 different texts are different documents, ordered by a hash of the text; rows equal in both
 count as one document and get the same result. Empty texts and those under WINDOW bytes
-have nothing removed. Extra columns are ignored. Long texts are cut into pieces that overlap by a
-window, so the size of the arrays is bounded.
+have nothing removed. Extra columns are ignored. Long texts are cut into pieces that overlap
+by a window, so the size of the arrays is bounded.
 """
 
 from __future__ import annotations
@@ -33,14 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM, BLOCK = 100, 32, 8
 #: Bytes searched at once; positions must fit the low POSITION bits of a sort key.
 PIECE, POSITION = 1 << 18, 20
 NO_ID = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15
-RUNS = "doc long, t long, first long, last long, d1 long"
+#: Ranges of windows: their first and last start, a digit, the digest of all their bytes, and
+#: whether the same bytes stand earlier in the same document.
+RANGES = "doc long, first int, last int, digit long, full binary, again boolean"
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +73,10 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, lengths: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """Runs of windows with one anchor in texts laid end to end: first and last start, gram hash."""
+    """Runs of windows with one anchor in texts laid end to end: first and last start, anchor, gram hash."""
     none = np.empty(0, np.int64)
     if len(data) < window:
-        return none, none, none
+        return none, none, none, none
     h = gram_hashes(data, gram)
     low = np.uint64((1 << POSITION) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -83,15 +89,15 @@ def runs(data: np.ndarray, lengths: np.ndarray, window: int = WINDOW, gram: int
     ends = np.repeat(np.cumsum(lengths), lengths)[: len(least)]
     start = np.nonzero(np.arange(window, len(least) + window) <= ends)[0]
     if not len(start):
-        return none, none, none
+        return none, none, none, none
     anchor = (least[start] & low).astype(np.int64)
     new = np.nonzero((np.diff(anchor) != 0) | (np.diff(start) != 1))[0] + 1
     head = np.concatenate([[0], new])
-    return start[head], start[np.concatenate([new - 1, [len(start) - 1]])], h[anchor[head]].view(np.int64)
+    return start[head], start[np.concatenate([new - 1, [len(start) - 1]])], anchor[head], h[anchor[head]].view(np.int64)
 
 
 def _pieces(batch: pa.RecordBatch):
-    """(rows' numbers, bytes, lengths, offsets in the texts), of about PIECE bytes each."""
+    """Places (row number, offset in its text) and bytes of parts, together about PIECE bytes each time."""
     rows, parts, size = [], [], 0
     for i, text in enumerate(batch.column("text").to_pylist()):
         if not text or len(text) < WINDOW:
@@ -108,76 +114,135 @@ def _pieces(batch: pa.RecordBatch):
         yield rows, parts
 
 
-def _found(keyed: DataFrame, whole: bool) -> DataFrame:
-    """The runs' first digits; whole: with the place, and the digest of all bytes."""
+def _grams(keyed: DataFrame) -> DataFrame:
+    """The first digit of every run."""
+
+    def run(batches):
+        for batch in batches:
+            for _, parts in _pieces(batch):
+                d1 = runs(np.frombuffer(b"".join(parts), np.uint8), np.array([len(x) for x in parts]))[3]
+                yield pa.record_batch([pa.array(d1)], names=["digit"])
+
+    return mapped(keyed, run, "digit long")
+
+
+def _ranges(doc, first, last, digit, full, seen: set, extra=()) -> pa.RecordBatch:
+    """A batch of ranges; seen: (document, digest) met before, which grows."""
+    again = []
+    for key in zip(doc.tolist(), full, strict=True):
+        again.append(key in seen)
+        seen.add(key)
+    columns = [pa.array(doc), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(digit), pa.array(full, pa.binary()), pa.array(again)]
+    return pa.record_batch([*columns, *(pa.array(x, pa.int32()) for x in extra)], names=["doc", "first", "last", "digit", "full", "again", "anchor"][: 6 + len(extra)])
+
+
+def _runs(keyed: DataFrame) -> DataFrame:
+    """All runs with their places, anchors and the digests of all their bytes."""
 
     def run(batches):
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, ties = (batch.column(c).to_numpy() for c in ("doc", "t"))
+            ids, seen, before = batch.column("doc").to_numpy(), set(), -1
             for rows, parts in _pieces(batch):
                 blob, lengths = b"".join(parts), np.array([len(x) for x in parts])
-                first, last, d1 = runs(np.frombuffer(blob, np.uint8), lengths)
-                if not whole:
-                    yield pa.record_batch([pa.array(d1)], names=["d1"])
-                    continue
+                first, last, anchor, d1 = runs(np.frombuffer(blob, np.uint8), lengths)
                 full = [digest(blob[a:b]) for a, b in zip(first.tolist(), (last + WINDOW).tolist(), strict=True)]
                 begin = np.cumsum(lengths) - lengths
                 part = np.searchsorted(begin, first, "right") - 1
                 row, at = (np.array(x, np.int64)[part] for x in zip(*rows, strict=True))
                 shift = at - begin[part]
-                columns = [pa.array(x) for x in (ids[row], ties[row], first + shift, last + shift, d1)]
-                yield pa.record_batch([*columns, pa.array(full, pa.binary())], names=["doc", "t", "first", "last", "d1", "full"])
+                if rows[0][0] != before:
+                    seen = set()
+                before = rows[-1][0]
+                yield _ranges(ids[row], first + shift, last + shift, d1, full, seen, (anchor + shift,))
 
-    return keyed.mapInArrow(run, f"{RUNS}, full binary" if whole else "d1 long")
+    return mapped(keyed, run, f"{RANGES}, anchor int")
 
 
-def _windows(edges: DataFrame) -> DataFrame:
-    """doc, t, first and digest of the single windows of the runs listed in spans."""
+def _blocks(texts: DataFrame) -> DataFrame:
+    """The blocks of the runs in spans (first, last, anchor); digit: hash of what a block's windows share."""
+
+    def run(batches):
+        digest, short = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans")), strict=True):
+                found, seen = [], set()
+                for x in spans:
+                    first, last, anchor = x["first"], x["last"], x["anchor"]
+                    for near in range(anchor - (anchor - last) // BLOCK * BLOCK, first - 1, -BLOCK):
+                        found.append((max(first, near - BLOCK + 1), min(last, near), near))
+                found.sort()  # what starts later in the document is the repeat
+                for at in range(0, len(found), 50_000):
+                    first, last, near = (np.array(x, np.int64) for x in zip(*found[at : at + 50_000], strict=True))
+                    full = [digest(text[a:b]) for a, b in zip(first.tolist(), (last + WINDOW).tolist(), strict=True)]
+                    digit = np.array([short(text[a : a + WINDOW - BLOCK + 1]) for a in near.tolist()], np.uint64).view(np.int64)
+                    yield _ranges(np.full(len(first), doc), first, last, digit, full, seen)
+
+    return mapped(texts, run, RANGES)
+
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """The single windows of the ranges in spans (first, last)."""
 
     def run(batches):
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for doc, t, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "text", "spans")), strict=True):
-                start = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in spans])
-                for at in range(0, len(start), 100_000):
-                    part = start[at : at + 100_000]
+            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans")), strict=True):
+                seen: set = set()
+                start = np.unique(np.concatenate([np.arange(x["first"], x["last"] + 1) for x in spans]))
+                for at in range(0, len(start), 50_000):
+                    part = start[at : at + 50_000]
                     full = [digest(text[a : a + WINDOW]) for a in part.tolist()]
-                    n = len(part)
-                    yield pa.record_batch([pa.array(np.full(n, doc)), pa.array(np.full(n, t)), pa.array(part), pa.array(full, pa.binary())], names=["doc", "t", "first", "full"])
+                    yield _ranges(np.full(len(part), doc), part, part, np.zeros(len(part), np.int64), full, seen)
 
-    return edges.mapInArrow(run, "doc long, t long, first long, full binary")
+    return mapped(texts, run, RANGES)
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """doc, t, text: a key for each different document, and its bytes."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    repeated = docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")).agg(F.count("*").alias("n")).filter("n > 1").select("doc")
-    if repeated.isEmpty():
-        return rows.select("doc", F.lit(0).cast("long").alias("t"), "text")
-    return rows.join(repeated.withColumn("again", F.lit(True)), "doc", "left").select("doc", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("t"), "text")
+    """doc, doc_id, text: a number for each different document, in their order, and its bytes;
+    also a column repeated where several rows may have one number."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    number = F.coalesce("doc_id", F.lit(NO_ID))
+    if rows.groupBy(number.alias("doc")).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return rows.select(number.alias("doc"), "doc_id", "text")
+    rows = rows.withColumns({"_n": number, "_t": F.xxhash64("text")})
+    order = rows.select("_n", "_t").distinct().orderBy("_n", "_t").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    ranks = written(docs.sparkSession.createDataFrame(order, "_n long, _t long, doc long"), "ranks")
+    return rows.join(ranks, ["_n", "_t"]).select("doc", "doc_id", "text", F.lit(True).alias("repeated"))
+
+
+def _passed(ranges: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
+    """Of ranges dealt by digit and digest: the byte spans that stand earlier too, and the
+    first range of each digest where a digit has several digests."""
+    fresh = ranges.filter("NOT again")
+    firsts = [F.min_by(c, "doc").alias(c) for c in ("first", "last", *carried)]
+    groups = written(fresh.groupBy("digit", "full").agg(F.min("doc").alias("head"), F.count("*").alias("n"), *firsts), "groups")
+    heads = groups.filter("n > 1").select("digit", "full", "head")
+    later = fresh.join(heads, ["digit", "full"]).filter("doc > head").unionByName(ranges.filter("again"), allowMissingColumns=True)
+    mixed = groups.groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit")
+    edges = groups.join(mixed, "digit", "left_semi").select(F.col("head").alias("doc"), "first", "last", *carried)
+    return later.select("doc", F.col("first").alias("start"), (F.col("last") + WINDOW).alias("stop")), edges
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
-    """doc, t, start, stop: byte ranges that cover all windows that also start earlier."""
-    place = F.struct("doc", "t", "first")
-    twice = written(_found(keyed, False).groupBy("d1").agg(F.count("*").alias("n")).filter("n > 1").select("d1"), "grams")
-    left = written(_found(keyed, True).join(twice, "d1", "left_semi"), "runs")
-    groups = written(left.groupBy("d1", "full").agg(F.min(F.struct("doc", "t", "first", "last")).alias("least"), F.count("*").alias("n")), "groups")
-    heads = groups.filter("n > 1").select("d1", "full", F.struct("least.doc", "least.t", "least.first").alias("head"))
-    later = left.join(heads, ["d1", "full"]).filter(place > F.col("head")).select("doc", "t", F.col("first").alias("start"), (F.col("last") + WINDOW).alias("stop"))
-    mixed = groups.groupBy("d1").agg(F.count("*").alias("n")).filter("n > 1").select("d1")
-    edges = groups.join(mixed, "d1", "left_semi").select("least.*").groupBy("doc", "t").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    single = written(_windows(keyed.dropDuplicates(["doc", "t"]).join(edges, ["doc", "t"])), "windows")
-    heads = single.groupBy("full").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").select("full", "head")
-    more = single.join(heads, "full").filter(place > F.col("head")).select("doc", "t", F.col("first").alias("start"), (F.col("first") + WINDOW).alias("stop"))
-    return later.unionByName(more)
+    """doc, start, stop: byte ranges that cover all windows that also start earlier."""
+    texts = keyed.select("doc", "text").dropDuplicates(["doc"]) if "repeated" in keyed.columns else keyed.select("doc", "text")
+
+    def opened(edges: DataFrame) -> DataFrame:
+        own = [c for c in edges.columns if c != "doc"]
+        return texts.join(edges.groupBy("doc").agg(F.collect_list(F.struct(*own)).alias("spans")), "doc")
+
+    twice = written(_grams(texts).groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit"), "grams")
+    whole, edges = _passed(written(_runs(texts).join(twice, "digit", "left_semi"), "runs"), "anchor")
+    parts, edges = _passed(written(_blocks(opened(edges)), "blocks"))
+    single, _ = _passed(written(_windows(opened(edges)), "windows"))
+    return whole.unionByName(parts).unionByName(single)
 
 
 def kept_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, maximal and in order) and kept (the remaining bytes)."""
     keyed = keyed_texts(docs)
-    spans = written(repeated_spans(keyed).groupBy("doc", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    spans = written(repeated_spans(keyed).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
 
     def run(batches):
         for batch in batches:
@@ -195,11 +260,10 @@ def kept_texts(docs: DataFrame) -> DataFrame:
                     sizes.append(len(text))
                     removed.append([{"start": a, "stop": b} for a, b in merged])
                     kept.append(b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                yield pa.record_batch([part.column("doc"), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "spans", "kept"])
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+                yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    out = keyed.join(spans, ["doc", "t"], "left").mapInArrow(run, "doc long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "spans", "kept")
+    return mapped(keyed.join(spans, "doc", "left"), run, "doc_id long, n_bytes long, spans array<struct<start: int, stop: int>>, kept binary")
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import mapped, shuffle_partitions, written
 from .components import components
 
 SEED = 42
@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 fp = fingerprint([shingle_hashes(t, words) for t in texts])[:, 0].view(np.int64)
                 yield pa.record_batch([ids, pa.array(fp)], names=["doc_id", "fp"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return mapped(_texts(docs), run, "doc_id long, fp long")
 
 
 def segment_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

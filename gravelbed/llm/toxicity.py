@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import crc_fold, written
+from .common import crc_fold, mapped, written
 
 #: Labelled rows that a model is fitted on at most.
 SAMPLE = 20_000
@@ -117,7 +117,7 @@ def learnt_terms(rows: DataFrame) -> dict[str, float]:
 
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n0, n1 = totals.get(0.0, 0), totals.get(1.0, 0)
-    found = rows.select("text", "label").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = mapped(rows.select("text", "label"), count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     best = found.filter((F.col("toxic") >= TERM_ROWS) & (F.length("term") > 1)).select("term", odds.alias("odds")).filter("odds > 2.5")
     return {r["term"]: r["odds"] for r in best.orderBy(F.desc("odds"), "term").limit(TERMS).collect()}
@@ -134,7 +134,7 @@ def with_features(docs: DataFrame, learnt: dict[str, float], keep: list[str]) ->
                 values = [features(x or b"", learnt) for x in part.column("_text").to_pylist()]
                 yield pa.record_batch([*(part.column(c) for c in keep), pa.array(values, pa.list_(pa.float64()))], names=[*keep, "features"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
+    return mapped(docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("binary").alias("_text")), run, schema)
 
 
 class Model:
