@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, quality_rules, repeats, simhash, toxicity
+from . import exact_dedup, mixing, pieces, quality_rules, repeats, simhash, toxicity, warc
 
 _QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op9_pieces": pieces.op9_pieces,
+    "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
     "op1_simhash": simhash.op1_simhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
