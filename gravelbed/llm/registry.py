@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, quality_rules, repeats, simhash, surrogates, toxicity, warc
+from . import exact_dedup, maxent, mixing, pieces, quality_rules, repeats, simhash, surrogates, toxicity, warc
 
 _QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op9_pieces": pieces.op9_pieces,
     "op10_surrogates": surrogates.op10_surrogates,
+    "op3_maxent": maxent.op3_maxent,
     "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
     "op1_simhash": simhash.op1_simhash,
