@@ -14,8 +14,13 @@ Two searches use these keys:
   three in turn. Buckets are verified in full; a bucket over BUCKET rows goes through shared
   neighbours instead (a middle point one bit away), whose groups hold 65 fingerprints at most.
 * near_duplicates(): documents whose word shingles have a Jaccard similarity of at least a
-  threshold. Fingerprints of TABLES x 46 bits give pairs of segments, keyed by both codeword
-  indices; candidates that pass a 64-bit sketch are verified on their exact shingle sets.
+  threshold. Each takes BITS fingerprint bits of its two-word runs, in which one changed word shows
+  least. A key is the codeword index of 23 of the bits and EXACT others as they are; TABLES choices
+  of bits give every pair as many chances. Candidates that differ in up to FAR of the bits are
+  verified on their exact shingle sets. A first search offers each member of a bucket only the
+  bucket's smallest id and contracts what it links, so a group of thousands of copies costs
+  a pair for each; a second one compares all pairs of the buckets that representatives
+  and documents without a link still share.
 
 Nulls and texts without words have fingerprint zero and link like any other. Rows with equal
 fingerprints are folded before any search, so copies cost one row. Rows with a null doc_id
@@ -40,8 +45,9 @@ SEED = 42
 BUCKET = 64
 #: Bits of the three segments of a 64-bit fingerprint.
 SEGMENTS = (22, 21, 21)
-#: Pairs of 23-bit segments in the long fingerprint of near_duplicates().
-TABLES = 7
+#: near_duplicates(): bits of a fingerprint, choices of bits, bits of a key beside the codeword
+#: index, and share of bits that may differ. At a similarity of 0.8, 15 per cent differ.
+BITS, TABLES, EXACT, FAR = 512, 32, 14, 0.22
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -92,7 +98,7 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
 
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
-_MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+_MIX = np.cumprod(np.full(32, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
 def fingerprint(hashes: list[list[int]], width: int = 1) -> np.ndarray:
@@ -208,6 +214,119 @@ def grouped(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     return rows.join(labels, "fp")
 
 
+def _chosen() -> np.ndarray:
+    """The bits of each table's key: 23 to decode, then EXACT others."""
+    draw = np.random.default_rng(SEED)
+    return np.stack([draw.permutation(BITS)[: 23 + EXACT] for _ in range(TABLES)])
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, sketch (BITS bits of the two-word runs) of texts that have words."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, texts in _blocks(batch, 64):
+                sketch = fingerprint([list({*shingle_hashes(t, 2)}) for t in texts], BITS // 64)
+                there = pa.array([bool(t.split()) for t in texts])
+                yield pa.record_batch([ids, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "sketch"]).filter(there)
+
+    return mapped(_texts(docs), run, "doc_id long, sketch binary")
+
+
+def _candidates(rows: DataFrame, every: bool) -> DataFrame:
+    """u, v (u < v) of sketches that share a bucket: with the bucket's smallest id, or every pair.
+
+    Buckets over BUCKET rows give two stars, around their smallest and largest id."""
+
+    def keyed(batches):
+        bits, weights = _chosen(), 1 << np.arange(23)
+        for batch in batches:
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            on, ids = np.unpackbits(sketch, axis=1, bitorder="little"), batch.column("doc_id").to_numpy()
+            for t, chosen in enumerate(bits):
+                exact = on[:, chosen[23:]] @ weights[:EXACT]
+                near, n = golay().keys((on[:, chosen[:23]] @ weights).astype(np.uint32))
+                there = np.arange(6) < n[:, None]
+                full = (((t << EXACT) + exact) << 12)[:, None] + near
+                yield pa.record_batch([pa.array(full[there]), pa.array(ids[np.nonzero(there)[0]])], names=["key", "id"])
+
+    def pairs(batches):
+        for batch in batches:
+            found = [np.empty((0, 2), np.int64)]
+            for members in batch.column("ids").to_pylist():
+                ids = np.sort(np.array(members, np.int64))
+                i, j = np.triu_indices(len(ids), 1)
+                found.append(np.stack([ids[i], ids[j]], axis=1))
+            both = np.concatenate(found)
+            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+
+    keys = mapped(rows.select("doc_id", "sketch"), keyed, "key long, id long")
+    buckets = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("n > 1"), "buckets")
+    twos = buckets.filter("n = 2").select(F.col("low").alias("u"), F.col("high").alias("v"))
+    more = keys.join(buckets.filter("n > 2"), "key")
+    low = more.filter("id > low").select(F.col("low").alias("u"), F.col("id").alias("v"))
+    if not every:
+        return twos.unionByName(low).distinct()
+    high = more.filter((F.col("id") < F.col("high")) & (F.col("n") > BUCKET)).select(F.col("id").alias("u"), F.col("high").alias("v"))
+    few = mapped(more.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("id").alias("ids")).select("ids"), pairs, "u long, v long")
+    large = more.filter(F.col("n") > BUCKET).filter("id > low").select(F.col("low").alias("u"), F.col("id").alias("v"))
+    return twos.unionByName(few).unionByName(large).unionByName(high).distinct()
+
+
+def _close(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs whose sketches differ in up to FAR of the bits, with that number."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("a", "b"))
+            off = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
+            near = pa.array(off <= FAR * BITS)
+            yield pa.record_batch([batch.column("u"), batch.column("v"), pa.array(off)], names=["u", "v", "off"]).filter(near)
+
+    a, b = (rows.select(F.col("doc_id").alias(x), F.col("sketch").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    return mapped(pairs.join(a, "u").join(b, "v"), run, "u long, v long, off long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """The pairs whose sets of shingles have at least the threshold's Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, texts in _blocks(batch, 64):
+                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in texts]
+                yield pa.record_batch([ids, pa.array(sets, pa.list_(pa.int64()))], names=["id", "runs"])
+
+    named = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = written(mapped(_texts(docs.join(named, "doc_id", "left_semi")), run, "id long, runs array<long>"), "sets")
+    a, b = (sets.select(F.col("id").alias(x), F.col("runs").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.join(a, "u").join(b, "v").filter(both >= threshold * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """doc_id, component_id (the smallest id of its group) of the documents that have a near-duplicate.
+
+    Links are pairs whose sets of shingles of words words have a Jaccard similarity of threshold or
+    more; a text of fewer words has one shingle, one without words none and no links. Rows
+    without an id, or with an id that other rows have too, take no part."""
+    ids = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    rows = sketches(docs.filter("doc_id IS NOT NULL"))
+    repeated = ids.filter("n > 1").select("doc_id")
+    rows = written(rows if repeated.isEmpty() else rows.join(repeated, "doc_id", "left_anti"), "sketches")
+    near = _close(_candidates(rows, False), rows).groupBy("v").agg(F.min_by("u", F.struct("off", "u")).alias("u"))
+    links = written(_verified(written(near, "nearest"), docs, words, threshold), "links")
+    members = components(links).filter("node <> component").select(F.col("node").alias("doc_id"))
+    rest = written(rows.join(members, "doc_id", "left_anti"), "rest")
+    more = _verified(written(_close(_candidates(rest, True), rest).select("u", "v"), "near"), docs, words, threshold)
+    return components(links.unionByName(more)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs without the near-duplicates of a document with a smaller id; all columns stay."""
+    gone = near_duplicates(docs, words, threshold).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
