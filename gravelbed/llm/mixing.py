@@ -74,10 +74,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
             after = after.join(sums.select(d, factor.alias("factor")), d).withColumn("raked", F.col("raked") * F.col("factor")).drop("factor")
         after = written(after, "raked")
         forget(now)
-        now, worst = after, 0.0
-        for d, goal in goals.items():
-            off = now.groupBy(d).agg(F.sum("raked").alias("sum")).join(goal, d).agg(F.max(F.abs(F.col("sum") / F.col("goal") - 1))).first()[0]
-            worst = max(worst, off or 0.0)
+        now, off = after, None
+        for d, goal in goals.items():  # one query for all dimensions
+            each = now.groupBy(d).agg(F.sum("raked").alias("sum")).join(goal, d).select(F.abs(F.col("sum") / F.col("goal") - 1).alias("off"))
+            off = each if off is None else off.unionByName(each)
+        worst = off.agg(F.max("off")).first()[0] or 0.0
         if worst <= tolerance:
             break
     return now

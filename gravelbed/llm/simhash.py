@@ -47,7 +47,7 @@ BUCKET = 64
 SEGMENTS = (22, 21, 21)
 #: near_duplicates(): bits of a fingerprint, choices of bits, bits of a key beside the codeword
 #: index, and share of bits that may differ. At a similarity of 0.8, 15 per cent differ.
-BITS, TABLES, EXACT, FAR = 512, 32, 14, 0.22
+BITS, TABLES, EXACT, FAR = 512, 32, 18, 0.22
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
