@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -215,10 +216,19 @@ def decoded(rows: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     schema = StructType([*own.schema, StructField("decoded", StringType())])
 
     def run(batches):
+        every = np.frombuffer(b"".join(p.raw), np.uint8)
+        sizes = np.array([len(x) for x in p.raw], np.int64)
+        starts = np.cumsum(sizes) - sizes
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [decode(p, x or ()) for x in part.column("tokens").to_pylist()]
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                ids = part.column("tokens").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                counts = pc.fill_null(pc.list_value_length(part.column("tokens")), 0).to_numpy(zero_copy_only=False)
+                size = sizes[ids]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                raw = every[np.arange(ends[-1]) + np.repeat(starts[ids] - ends[:-1], size)].tobytes()
+                cuts = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+                texts = [raw[i + (p.prefix and raw[i : i + 1] == b" " and i < j) : j].decode("utf-8", "replace") for i, j in zip(cuts, cuts[1:])]
                 yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
     return mapped(own, run, schema)
