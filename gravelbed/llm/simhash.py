@@ -17,10 +17,10 @@ Two searches use these keys:
   threshold. Each takes BITS fingerprint bits of its two-word runs, in which one changed word shows
   least. A key is the codeword index of 23 of the bits and EXACT others as they are; TABLES choices
   of bits give every pair as many chances. Candidates that differ in up to FAR of the bits are
-  verified on their exact shingle sets. A first search offers each member of a bucket only the
-  bucket's smallest id and contracts what it links, so a group of thousands of copies costs
-  a pair for each; a second one compares all pairs of the buckets that representatives
-  and documents without a link still share.
+  verified on their exact shingle sets. ROUNDS searches, of a quarter of the tables each, offer each
+  member of a bucket only the bucket's smallest id and contract what they link, so of a group of
+  thousands of copies most members leave after a few rows each; a last search, of all tables,
+  compares all pairs of the buckets that representatives and documents without a link still share.
 
 Nulls and texts without words have fingerprint zero and link like any other. Rows with equal
 fingerprints are folded before any search, so copies cost one row. Rows with a null doc_id
@@ -48,6 +48,8 @@ SEGMENTS = (22, 21, 21)
 #: near_duplicates(): bits of a fingerprint, choices of bits, bits of a key beside the codeword
 #: index, and share of bits that may differ. At a similarity of 0.8, 15 per cent differ.
 BITS, TABLES, EXACT, FAR = 512, 32, 18, 0.22
+#: Contracting searches before the last one, and tables of each.
+ROUNDS, FIRST = 2, 8
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -233,8 +235,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     return mapped(_texts(docs), run, "doc_id long, sketch binary")
 
 
-def _candidates(rows: DataFrame, every: bool) -> DataFrame:
-    """u, v (u < v) of sketches that share a bucket: with the bucket's smallest id, or every pair.
+def _candidates(rows: DataFrame, every: bool, tables: range) -> DataFrame:
+    """u, v (u < v) of sketches that share a bucket of the tables: with the bucket's smallest id, or every pair.
 
     Buckets over BUCKET rows give two stars, around their smallest and largest id."""
 
@@ -243,7 +245,8 @@ def _candidates(rows: DataFrame, every: bool) -> DataFrame:
         for batch in batches:
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BITS // 8)
             on, ids = np.unpackbits(sketch, axis=1, bitorder="little"), batch.column("doc_id").to_numpy()
-            for t, chosen in enumerate(bits):
+            for t in tables:
+                chosen = bits[t]
                 exact = on[:, chosen[23:]] @ weights[:EXACT]
                 near, n = golay().keys((on[:, chosen[:23]] @ weights).astype(np.uint32))
                 there = np.arange(6) < n[:, None]
@@ -313,11 +316,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     rows = sketches(docs.filter("doc_id IS NOT NULL"))
     repeated = ids.filter("n > 1").select("doc_id")
     rows = written(rows if repeated.isEmpty() else rows.join(repeated, "doc_id", "left_anti"), "sketches")
-    near = _close(_candidates(rows, False), rows).groupBy("v").agg(F.min_by("u", F.struct("off", "u")).alias("u"))
-    links = written(_verified(written(near, "nearest"), docs, words, threshold), "links")
-    members = components(links).filter("node <> component").select(F.col("node").alias("doc_id"))
-    rest = written(rows.join(members, "doc_id", "left_anti"), "rest")
-    more = _verified(written(_close(_candidates(rest, True), rest).select("u", "v"), "near"), docs, words, threshold)
+    links = None
+    for k in range(ROUNDS):
+        near = _close(_candidates(rows, False, range(k * FIRST, (k + 1) * FIRST)), rows).groupBy("v").agg(F.min_by("u", F.struct("off", "u")).alias("u"))
+        found = written(_verified(written(near, "nearest"), docs, words, threshold), "links")
+        members = components(found).filter("node <> component").select(F.col("node").alias("doc_id"))
+        rows = written(rows.join(members, "doc_id", "left_anti"), "rest")
+        links = links.unionByName(found) if links else found
+    more = _verified(written(_close(_candidates(rows, True, range(TABLES)), rows).select("u", "v"), "near"), docs, words, threshold)
     return components(links.unionByName(more)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
