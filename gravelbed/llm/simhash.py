@@ -14,30 +14,32 @@ Two searches use these keys:
   three in turn. Buckets are verified in full; a bucket over BUCKET rows goes through shared
   neighbours instead (a middle point one bit away), whose groups hold 65 fingerprints at most.
 * near_duplicates(): documents whose word shingles have a Jaccard similarity of at least a
-  threshold. Each takes BITS fingerprint bits of its two-word runs, in which one changed word shows
-  least. A key is the codeword index of 23 of the bits and EXACT others as they are; TABLES choices
-  of bits give every pair as many chances. Candidates that differ in up to FAR of the bits are
-  verified on their exact shingle sets. A first search offers each member of a bucket only the
-  bucket's smallest id and contracts what it links, so a group of thousands of copies costs
-  a pair for each; a second one compares all pairs of the buckets that representatives
-  and documents without a link still share.
+  threshold, all of them. It needs no fingerprints: two such sets of a and b shingles share at least
+  threshold * max(a, b), so under any common order of the shingles their first
+  a - threshold * a + 1 and b - threshold * b + 1 ones have one in common (prefix filter). The order
+  is by hash, with shingles that a sample shows to be common last; it decides only the cost.
+  Pairs in a bucket are left out only if their sizes, the places of the key or a 512-bit parity
+  sketch prove them to be below the threshold; the others are verified on the sets. A few rounds
+  compare each member of a bucket with one other and contract what they link, so a group of
+  thousands of copies costs few pairs; the last round compares all pairs that are not in one component yet.
 
 Nulls and texts without words have fingerprint zero and link like any other. Rows with equal
 fingerprints are folded before any search, so copies cost one row. Rows with a null doc_id
-take part; a component's id is the smallest id in it, or null if it has none.
+take part in op1; a component's id is the smallest id in it, or null if it has none.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, shuffle_partitions, written
+from .common import mapped, written
 from .components import components
 
 SEED = 42
@@ -45,9 +47,10 @@ SEED = 42
 BUCKET = 64
 #: Bits of the three segments of a 64-bit fingerprint.
 SEGMENTS = (22, 21, 21)
-#: near_duplicates(): bits of a fingerprint, choices of bits, bits of a key beside the codeword
-#: index, and share of bits that may differ. At a similarity of 0.8, 15 per cent differ.
-BITS, TABLES, EXACT, FAR = 512, 32, 18, 0.22
+#: near_duplicates(): bits of a parity sketch, rounds of stars before all pairs, rows of a bucket that one group holds.
+BITS, STARS, PART = 512, 2, 4096
+#: Sampled documents for the order of shingles (one in 16 at most), how many must hold a common one, and the longest list.
+SAMPLE, COMMON, LISTED = 65_536, 4, 50_000
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -214,111 +217,174 @@ def grouped(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     return rows.join(labels, "fp")
 
 
-def _chosen() -> np.ndarray:
-    """The bits of each table's key: 23 to decode, then EXACT others."""
-    draw = np.random.default_rng(SEED)
-    return np.stack([draw.permutation(BITS)[: 23 + EXACT] for _ in range(TABLES)])
+def _set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, sketch (BITS bits of the two-word runs) of texts that have words."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text: with its own key, a row needs no id of its own."""
+    text = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
-    def run(batches):
-        for batch in batches:
-            for ids, texts in _blocks(batch, 64):
-                sketch = fingerprint([list({*shingle_hashes(t, 2)}) for t in texts], BITS // 64)
-                there = pa.array([bool(t.split()) for t in texts])
-                yield pa.record_batch([ids, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "sketch"]).filter(there)
-
-    return mapped(_texts(docs), run, "doc_id long, sketch binary")
-
-
-def _candidates(rows: DataFrame, every: bool) -> DataFrame:
-    """u, v (u < v) of sketches that share a bucket: with the bucket's smallest id, or every pair.
 
-    Buckets over BUCKET rows give two stars, around their smallest and largest id."""
+def _common(rows: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that occur in many documents of a sample."""
 
-    def keyed(batches):
-        bits, weights = _chosen(), 1 << np.arange(23)
+    def run(batches):
         for batch in batches:
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            on, ids = np.unpackbits(sketch, axis=1, bitorder="little"), batch.column("doc_id").to_numpy()
-            for t, chosen in enumerate(bits):
-                exact = on[:, chosen[23:]] @ weights[:EXACT]
-                near, n = golay().keys((on[:, chosen[:23]] @ weights).astype(np.uint32))
-                there = np.arange(6) < n[:, None]
-                full = (((t << EXACT) + exact) << 12)[:, None] + near
-                yield pa.record_batch([pa.array(full[there]), pa.array(ids[np.nonzero(there)[0]])], names=["key", "id"])
+            for _, texts in _blocks(batch):
+                yield pa.record_batch([pa.array(np.concatenate([_set(t, words) for t in texts]).view(np.int64))], names=["key"])
 
-    def pairs(batches):
-        for batch in batches:
-            found = [np.empty((0, 2), np.int64)]
-            for members in batch.column("ids").to_pylist():
-                ids = np.sort(np.array(members, np.int64))
-                i, j = np.triu_indices(len(ids), 1)
-                found.append(np.stack([ids[i], ids[j]], axis=1))
-            both = np.concatenate(found)
-            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
-
-    keys = mapped(rows.select("doc_id", "sketch"), keyed, "key long, id long")
-    buckets = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("n > 1"), "buckets")
-    twos = buckets.filter("n = 2").select(F.col("low").alias("u"), F.col("high").alias("v"))
-    more = keys.join(buckets.filter("n > 2"), "key")
-    low = more.filter("id > low").select(F.col("low").alias("u"), F.col("id").alias("v"))
-    if not every:
-        return twos.unionByName(low).distinct()
-    high = more.filter((F.col("id") < F.col("high")) & (F.col("n") > BUCKET)).select(F.col("id").alias("u"), F.col("high").alias("v"))
-    few = mapped(more.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("id").alias("ids")).select("ids"), pairs, "u long, v long")
-    large = more.filter(F.col("n") > BUCKET).filter("id > low").select(F.col("low").alias("u"), F.col("id").alias("v"))
-    return twos.unionByName(few).unionByName(large).unionByName(high).distinct()
+    share = max(16, rows.count() // SAMPLE)
+    counts = mapped(rows.filter(F.pmod("text_key", F.lit(share)) == 0).dropDuplicates(["text_key"]).select("doc_id", "text"), run, "key long").groupBy("key").count()
+    most = counts.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(LISTED).select("key").collect()
+    return np.sort(np.array([r["key"] for r in most], np.int64).view(np.uint64))
 
 
-def _close(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose sketches differ in up to FAR of the bits, with that number."""
+def _prefixed(rows: DataFrame, words: int, threshold: float, common: np.ndarray) -> DataFrame:
+    """doc_id, text_key of the texts that have words; node: a hash of the set of shingles; its size, parity sketch and prefix."""
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("a", "b"))
-            off = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
-            near = pa.array(off <= FAR * BITS)
-            yield pa.record_batch([batch.column("u"), batch.column("v"), pa.array(off)], names=["u", "v", "off"]).filter(near)
-
-    a, b = (rows.select(F.col("doc_id").alias(x), F.col("sketch").alias(y)) for x, y in (("u", "a"), ("v", "b")))
-    return mapped(pairs.join(a, "u").join(b, "v"), run, "u long, v long, off long")
-
+            for at in range(0, batch.num_rows, 64):
+                part, out = batch.slice(at, 64), []
+                texts = [x or b"" for x in part.column("text").to_pylist()]
+                for h in (_set(t, words) for t in texts):
+                    if not len(h):
+                        out.append((None, 0, b"", []))
+                        continue
+                    late = np.isin(h, common)
+                    first = np.concatenate([h[~late], h[late]])[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1]
+                    parity = np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                    out.append((xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), len(h), np.packbits(parity.astype(np.uint8)).tobytes(), first.view(np.int64)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
+                names = ["doc_id", "text_key", "node", "size", "sketch", "prefix"]
+                yield pa.record_batch([part.column("doc_id"), part.column("text_key"), *columns], names=names).filter(columns[0].is_valid())
+
+    return mapped(rows, run, "doc_id long, text_key long, node long, size long, sketch binary, prefix array<long>")
+
+
+def _offered(rows: DataFrame, threshold: float, stars: int | None) -> DataFrame:
+    """u, v (u < v) in one bucket and two components that may reach the threshold: of the bucket's
+    first node in an order by stars with the others, or, if stars is None, of all pairs.
+
+    rows: key, node, component, size, place, sketch, n (rows of the key). A bucket over PART rows is dealt to
+    groups, for stars by parts and for all pairs by each two parts."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int")
+    if stars is None:
+        both = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, mine).alias("low"), F.greatest(x, mine).alias("high")))
+        rows = rows.select("*", F.explode(both).alias("part"), mine.alias("mine")).withColumn("turn", F.col("node"))
+    else:
+        rows = rows.withColumns({"part": F.struct(mine.alias("low"), mine.alias("high")), "mine": mine, "turn": F.xxhash64("node", F.lit(stars))})
+    rows = rows.select("key", F.col("part.low").alias("low"), F.col("part.high").alias("high"), "turn", "mine", "node", "component", "size", "place", "sketch")
+
+    def compared(t: pa.Table, start: np.ndarray, length: np.ndarray):
+        column = {c: t.column(c).to_numpy() for c in ("low", "high", "mine", "node", "component", "size", "place")}
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        node, component, size, place, mine = (column[c] for c in ("node", "component", "size", "place", "mine"))
+        apart = column["low"] != column["high"]
+        first, left = np.repeat(start, length), np.repeat(start + length, length) - np.arange(t.num_rows)
+        for step in range(1, int(length.max(initial=1))):
+            if stars is None:
+                i = np.flatnonzero(left > step)
+                j = i + step
+                i, j = (x[~apart[i] | (mine[i] != mine[j])] for x in (i, j))
+            else:
+                j = np.flatnonzero(np.arange(t.num_rows) > first)
+                i = first[j]
+            i, j = (x[component[i] != component[j]] for x in (i, j))
+            total, least = size[i] + size[j], threshold / (1 + threshold) * (size[i] + size[j]) - 1e-6
+            # of two sets that reach it, the first common key leaves enough behind it in both
+            may = (np.minimum(size[i], size[j]) >= least) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= least) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-6)
+            i, j, most = i[may], j[may], (total - 2 * least)[may]
+            may = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most
+            i, j = i[may], j[may]
+            if len(i):
+                yield np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
+            if stars is not None:
+                return
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    def run(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            t = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if t is None or not t.num_rows:
+                continue
+            group = np.stack([t.column(c).to_numpy() for c in ("key", "low", "high")])
+            start = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1])
+            whole = t.num_rows if batch is None else int(start[-1])
+            held, start = t.slice(whole), start[start < whole]
+            length = np.diff(np.append(start, whole))
+            found = [*compared(t.slice(0, whole), start, length)] if whole else []
+            if found:
+                u, v = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "turn")
+    return mapped(dealt, run, "u long, v long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs whose sets of shingles have at least the threshold's Jaccard similarity."""
 
     def run(batches):
         for batch in batches:
             for ids, texts in _blocks(batch, 64):
-                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in texts]
+                sets = [_set(t, words).view(np.int64) for t in texts]
                 yield pa.record_batch([ids, pa.array(sets, pa.list_(pa.int64()))], names=["id", "runs"])
 
-    named = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = written(mapped(_texts(docs.join(named, "doc_id", "left_semi")), run, "id long, runs array<long>"), "sets")
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    one = rows.join(named, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    held = texts.select("text_key", "text").join(one, "text_key").dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text")
+    sets = written(mapped(held, run, "id long, runs array<long>"), "sets")
     a, b = (sets.select(F.col("id").alias(x), F.col("runs").alias(y)) for x, y in (("u", "a"), ("v", "b")))
     both = F.size(F.array_intersect("a", "b"))
     return pairs.join(a, "u").join(b, "v").filter(both >= threshold * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """key, node, size, place, sketch, n of the prefix keys that several nodes share."""
+    each = nodes.select("node", "size", F.posexplode("prefix").alias("place", "key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    each = written(each.select("key", "node", "size", F.col("place").cast("long").alias("place"), "n"), "shared")
+    return written(each.join(nodes.select("node", "sketch"), "node"), "buckets")
+
+
+def _joined(rows: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """node, component of the nodes (sets of shingles) that link to another one."""
+    nodes = written(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "prefix"))), "nodes")
+    buckets = _buckets(nodes)
+    links = parts = None
+    for stars in [*range(STARS), None]:
+        now = buckets.withColumn("component", F.col("node")) if parts is None else buckets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = written(_offered(now, threshold, stars), "pairs")
+        if pairs.isEmpty():
+            continue
+        more = written(_verified(pairs, texts, rows, words, threshold), "links")
+        if parts is not None and more.isEmpty():
+            continue
+        links = more if links is None else links.unionByName(more)
+        parts = written(components(links), "parts")
+    return parts if parts is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, component_id (the smallest id of its group) of the documents that have a near-duplicate.
 
     Links are pairs whose sets of shingles of words words have a Jaccard similarity of threshold or
     more; a text of fewer words has one shingle, one without words none and no links. Rows
     without an id, or with an id that other rows have too, take no part."""
-    ids = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
-    rows = sketches(docs.filter("doc_id IS NOT NULL"))
+    texts = _keyed(docs)
+    ids = texts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
     repeated = ids.filter("n > 1").select("doc_id")
-    rows = written(rows if repeated.isEmpty() else rows.join(repeated, "doc_id", "left_anti"), "sketches")
-    near = _close(_candidates(rows, False), rows).groupBy("v").agg(F.min_by("u", F.struct("off", "u")).alias("u"))
-    links = written(_verified(written(near, "nearest"), docs, words, threshold), "links")
-    members = components(links).filter("node <> component").select(F.col("node").alias("doc_id"))
-    rest = written(rows.join(members, "doc_id", "left_anti"), "rest")
-    more = _verified(written(_close(_candidates(rest, True), rest).select("u", "v"), "near"), docs, words, threshold)
-    return components(links.unionByName(more)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    texts = texts.filter("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti")
+    rows = written(_prefixed(texts, words, threshold, _common(texts, words)), "rows")
+    parts = _joined(rows, texts, words, threshold)
+    each = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).join(parts, "node", "left")
+    each = written(each.withColumn("component", F.coalesce("component", "node")), "nodes")
+    groups = each.groupBy("component").agg(F.min("least").alias("component_id"), F.max("last").alias("last")).filter("component_id < last")
+    named = each.join(groups.select("component", "component_id"), "component").select("node", "component_id")
+    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:

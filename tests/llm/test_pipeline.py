@@ -72,3 +72,28 @@ def test_near_duplicates_of_made_groups(spark):
     assert got == {1: 1, 2: 1, 3: 1} | {10 + k: 10 for k in range(150)}
     assert simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2 + 1 + 7
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_pairs_at_the_threshold_are_all_found(spark):
+    rows = []
+    for g in range(40):  # 40 of 200 shingles replaced in each of two ways: 160 / 200
+        base = [f"g{g}w{i}" for i in range(184)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base[:164], *(f"g{g}z{i}" for i in range(20))]))]
+    kept = brute_groups(rows)
+    assert all(kept[2 * g + 1] == 2 * g for g in range(40))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == kept
+
+
+def test_chains_through_contracted_members(spark):
+    """Each text is near the next alone, in buckets that all of them share and that are dealt in parts."""
+    line = [f"w{i}" for i in range(700)]
+    rows = [(k, " ".join(line[3 * k : 3 * k + 160])) for k in range(150)] + [(1000 + k, " ".join([*line[:100], *(f"k{k}x{i}" for i in range(100))])) for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: r for i, r in brute_groups(rows).items() if i < 150}
+    assert set(want.values()) == {0}
+    old, simhash.PART = simhash.PART, 16
+    try:
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame).collect()} == want
+    finally:
+        simhash.PART = old
