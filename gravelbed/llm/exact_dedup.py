@@ -203,10 +203,22 @@ def membership(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without the rows that yield to an equal text of a larger id; all columns stay.
-    Where an id stands for several texts, its rows go only if all of them yield."""
-    out = membership(docs).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_any")).filter(~F.col("_any")).select("_gone")
-    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(out["_gone"]), "left_anti")
+    """One row of docs for each text, of its largest id; all columns stay.
+
+    Rows are told apart by id and text. Of several with the largest id (or all without one), the first by a
+    hash of all columns stays."""
+    each = written(membership(docs), "membership")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    gone = each.filter(~F.coalesce("kept", F.lit(False))).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)
+    rows = docs.withColumn("_sha256", sha)
+    rows = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (rows["_sha256"] == gone["_sha"]), "left_anti")
+    several = written(each.filter("kept").groupBy(F.col("text_sha256").alias("_sha256")).count().filter("count > 1").select("_sha256"), "several")
+    if several.isEmpty():
+        return rows.drop("_sha256")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = rows.join(several, "_sha256", "left_semi").groupBy("_sha256").agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    return rows.join(several, "_sha256", "left_anti").drop("_sha256").unionByName(first.select("_row.*"))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ Two searches use these keys:
 
 Nulls and texts without words have fingerprint zero and link like any other. Rows with equal
 fingerprints are folded before any search, so copies cost one row. Rows with a null doc_id
-take part in op1; a component's id is the smallest id in it, or null if it has none.
+take part; a component's id is the smallest id in it, or null if it has none.
 """
 
 from __future__ import annotations
@@ -369,28 +369,29 @@ def _joined(rows: DataFrame, texts: DataFrame, words: int, threshold: float) ->
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, component_id (the smallest id of its group) of the documents that have a near-duplicate.
+    """doc_id, component_id (the smallest id of its group), text_key, kept of the documents that have a near-duplicate.
 
     Links are pairs whose sets of shingles of words words have a Jaccard similarity of threshold or
-    more; a text of fewer words has one shingle, one without words none and no links. Rows
-    without an id, or with an id that other rows have too, take no part."""
+    more; a text of fewer words has one shingle, one without words none and no links. A document is
+    (doc_id, text_key): rows equal in both are one, rows of one id with other texts are several, and
+    rows without an id come after all others. Of a group the first one is kept."""
     texts = _keyed(docs)
-    ids = texts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = ids.filter("n > 1").select("doc_id")
-    texts = texts.filter("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti")
     rows = written(_prefixed(texts, words, threshold, _common(texts, words)), "rows")
     parts = _joined(rows, texts, words, threshold)
-    each = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).join(parts, "node", "left")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    each = rows.groupBy("node").agg(F.min(one).alias("least"), F.max(one).alias("last")).join(parts, "node", "left")
     each = written(each.withColumn("component", F.coalesce("component", "node")), "nodes")
-    groups = each.groupBy("component").agg(F.min("least").alias("component_id"), F.max("last").alias("last")).filter("component_id < last")
-    named = each.join(groups.select("component", "component_id"), "component").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    groups = each.groupBy("component").agg(F.min("least").alias("least"), F.max("last").alias("last")).filter("least <> last")
+    named = each.drop("least", "last").join(groups.select("component", "least"), "component").select("node", "least")
+    found = rows.select("node", "doc_id", "text_key").distinct().join(named, "node")
+    return found.select("doc_id", F.col("least.doc_id").alias("component_id"), "text_key", (one == F.col("least")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without the near-duplicates of a document with a smaller id; all columns stay."""
-    gone = near_duplicates(docs, words, threshold).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, words, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"].cast("binary")) == F.col("_text"))
+    return docs.join(gone, same, "left_anti")
 
 
 def hex16(fp: Column) -> Column:
