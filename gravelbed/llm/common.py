@@ -48,8 +48,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
+def forget(df: DataFrame | None) -> None:
     """Deletes the files of a table made by written() that no later plan reads."""
+    if df is None:
+        return
     spark = df.sparkSession
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)

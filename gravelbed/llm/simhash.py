@@ -14,14 +14,17 @@ Two searches use these keys:
   three in turn. Buckets are verified in full; a bucket over BUCKET rows goes through shared
   neighbours instead (a middle point one bit away), whose groups hold 65 fingerprints at most.
 * near_duplicates(): documents whose word shingles have a Jaccard similarity of at least a
-  threshold, all of them. It needs no fingerprints: two such sets of a and b shingles share at least
-  threshold * max(a, b), so under any common order of the shingles their first
+  threshold, all of them. The Golay keys come first: sets with fingerprints at two bits or fewer are
+  paired by linked(), verified on the sets and contracted, so a group of thousands of close copies
+  costs few pairs. They cannot find all pairs: at a similarity of 0.8 two fingerprints of 64 bits differ in
+  about ten. What they leave apart meets in an exact search: two sets of a and b shingles that reach
+  the threshold share at least threshold * max(a, b), so under any common order of the shingles their first
   a - threshold * a + 1 and b - threshold * b + 1 ones have one in common (prefix filter). The order
   is by hash, with shingles that a sample shows to be common last; it decides only the cost.
   Pairs in a bucket are left out only if their sizes, the places of the key or a 512-bit parity
-  sketch prove them to be below the threshold; the others are verified on the sets. A few rounds
-  compare each member of a bucket with one other and contract what they link, so a group of
-  thousands of copies costs few pairs; the last round compares all pairs that are not in one component yet.
+  sketch prove them to be below the threshold; the others are verified on the sets. A round that
+  compares each member of a bucket with one other contracts what it links; the last round compares
+  all pairs that are not in one component yet.
 
 Nulls and texts without words have fingerprint zero and link like any other. Rows with equal
 fingerprints are folded before any search, so copies cost one row. Rows with a null doc_id
@@ -39,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, written
+from .common import forget, mapped, written
 from .components import components
 
 SEED = 42
@@ -48,7 +51,9 @@ BUCKET = 64
 #: Bits of the three segments of a 64-bit fingerprint.
 SEGMENTS = (22, 21, 21)
 #: near_duplicates(): bits of a parity sketch, rounds of stars before all pairs, rows of a bucket that one group holds.
-BITS, STARS, PART = 512, 2, 4096
+BITS, STARS, PART = 512, 1, 4096
+#: Rows of a bucket that all others are compared with in a round of stars.
+HUBS = 8
 #: Sampled documents for the order of shingles (one in 16 at most), how many must hold a common one, and the longest list.
 SAMPLE, COMMON, LISTED = 65_536, 4, 50_000
 
@@ -104,11 +109,11 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _MIX = np.cumprod(np.full(32, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
-def fingerprint(hashes: list[list[int]], width: int = 1) -> np.ndarray:
+def fingerprint(hashes: list, width: int = 1) -> np.ndarray:
     """For each list of shingle hashes, width x 64 bits: 1 where over half the hashes have a 1.
     Beyond the first 64, bits come from products of the hash with odd constants."""
     lengths = np.array([len(x) for x in hashes], np.int64)
-    flat = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, int(lengths.sum()))
+    flat = np.concatenate([np.asarray(x, np.uint64) for x in hashes]) if len(hashes) else np.empty(0, np.uint64)
     row = np.repeat(np.arange(len(hashes), dtype=np.int64) << 8, lengths)
     out = np.zeros((len(hashes), width), np.uint64)
     for w in range(width):
@@ -242,31 +247,31 @@ def _common(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def _prefixed(rows: DataFrame, words: int, threshold: float, common: np.ndarray) -> DataFrame:
-    """doc_id, text_key of the texts that have words; node: a hash of the set of shingles; its size, parity sketch and prefix."""
+    """doc_id, text_key of the texts that have words; node: a hash of the set of shingles; its size, fingerprint, parity sketch and prefix."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part, out = batch.slice(at, 64), []
-                texts = [x or b"" for x in part.column("text").to_pylist()]
-                for h in (_set(t, words) for t in texts):
+                sets = [_set(x or b"", words) for x in part.column("text").to_pylist()]
+                for h, fp in zip(sets, fingerprint(sets)[:, 0].view(np.int64).tolist(), strict=True):
                     if not len(h):
-                        out.append((None, 0, b"", []))
+                        out.append((None, 0, 0, b"", []))
                         continue
                     late = np.isin(h, common)
                     first = np.concatenate([h[~late], h[late]])[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1]
                     parity = np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                    out.append((xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), len(h), np.packbits(parity.astype(np.uint8)).tobytes(), first.view(np.int64)))
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
-                names = ["doc_id", "text_key", "node", "size", "sketch", "prefix"]
+                    out.append((xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), len(h), fp, np.packbits(parity.astype(np.uint8)).tobytes(), first.view(np.int64)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
+                names = ["doc_id", "text_key", "node", "size", "fp", "sketch", "prefix"]
                 yield pa.record_batch([part.column("doc_id"), part.column("text_key"), *columns], names=names).filter(columns[0].is_valid())
 
-    return mapped(rows, run, "doc_id long, text_key long, node long, size long, sketch binary, prefix array<long>")
+    return mapped(rows, run, "doc_id long, text_key long, node long, size long, fp long, sketch binary, prefix array<long>")
 
 
 def _offered(rows: DataFrame, threshold: float, stars: int | None) -> DataFrame:
     """u, v (u < v) in one bucket and two components that may reach the threshold: of the bucket's
-    first node in an order by stars with the others, or, if stars is None, of all pairs.
+    first HUBS nodes in an order by stars with the others, or, if stars is None, of all pairs.
 
     rows: key, node, component, size, place, sketch, n (rows of the key). A bucket over PART rows is dealt to
     groups, for stars by parts and for all pairs by each two parts."""
@@ -285,14 +290,15 @@ def _offered(rows: DataFrame, threshold: float, stars: int | None) -> DataFrame:
         node, component, size, place, mine = (column[c] for c in ("node", "component", "size", "place", "mine"))
         apart = column["low"] != column["high"]
         first, left = np.repeat(start, length), np.repeat(start + length, length) - np.arange(t.num_rows)
-        for step in range(1, int(length.max(initial=1))):
+        for step in range(1, int(length.max(initial=1)) if stars is None else HUBS + 1):
             if stars is None:
                 i = np.flatnonzero(left > step)
                 j = i + step
                 i, j = (x[~apart[i] | (mine[i] != mine[j])] for x in (i, j))
             else:
-                j = np.flatnonzero(np.arange(t.num_rows) > first)
-                i = first[j]
+                i = first + step - 1
+                j = np.flatnonzero(np.arange(t.num_rows) > i)
+                i = i[j]
             i, j = (x[component[i] != component[j]] for x in (i, j))
             total, least = size[i] + size[j], threshold / (1 + threshold) * (size[i] + size[j]) - 1e-6
             # of two sets that reach it, the first common key leaves enough behind it in both
@@ -302,8 +308,6 @@ def _offered(rows: DataFrame, threshold: float, stars: int | None) -> DataFrame:
             i, j = i[may], j[may]
             if len(i):
                 yield np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
-            if stars is not None:
-                return
 
     def run(batches):
         held = None
@@ -347,24 +351,44 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     """key, node, size, place, sketch, n of the prefix keys that several nodes share."""
     each = nodes.select("node", "size", F.posexplode("prefix").alias("place", "key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     each = written(each.select("key", "node", "size", F.col("place").cast("long").alias("place"), "n"), "shared")
-    return written(each.join(nodes.select("node", "sketch"), "node"), "buckets")
+    out = written(each.join(nodes.select("node", "sketch"), "node"), "buckets")
+    forget(each)
+    return out
+
+
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """u, v (u < v) of nodes whose fingerprints are at two bits or fewer, by the Golay keys; nodes of one
+    fingerprint meet its smallest node, which stands for it."""
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.max("node").alias("other")), "prints")
+    hub = prints.filter("hub < other").select("fp", "hub")
+    same = nodes.select("node", "fp").join(hub, "fp").filter("hub < node").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    links = linked(prints)
+    for side in ("u", "v"):
+        links = links.join(prints.select(F.col("fp").alias(side), F.col("hub").alias(f"{side}_hub")), side).drop(side)
+    return same.unionByName(links.select(F.least("u_hub", "v_hub").alias("u"), F.greatest("u_hub", "v_hub").alias("v")))
 
 
 def _joined(rows: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """node, component of the nodes (sets of shingles) that link to another one."""
-    nodes = written(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "prefix"))), "nodes")
-    buckets = _buckets(nodes)
-    links = parts = None
-    for stars in [*range(STARS), None]:
-        now = buckets.withColumn("component", F.col("node")) if parts is None else buckets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = written(_offered(now, threshold, stars), "pairs")
+    nodes = written(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "fp", "sketch", "prefix"))), "nodes")
+    links = parts = buckets = None
+    for step in ["fingerprints", *range(STARS), None]:
+        if step == "fingerprints":
+            offered = _fingerprint_pairs(nodes)
+        else:
+            buckets = _buckets(nodes) if buckets is None else buckets
+            now = buckets.withColumn("component", F.col("node")) if parts is None else buckets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            offered = _offered(now, threshold, step)
+        pairs = written(offered, "pairs")
         if pairs.isEmpty():
             continue
         more = written(_verified(pairs, texts, rows, words, threshold), "links")
+        forget(pairs)
         if parts is not None and more.isEmpty():
             continue
         links = more if links is None else links.unionByName(more)
         parts = written(components(links), "parts")
+    forget(buckets)
     return parts if parts is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
 
 
@@ -390,7 +414,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
 def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without the near-duplicates of a document with a smaller id; all columns stay."""
     gone = near_duplicates(docs, words, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_text"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"].cast("binary")) == F.col("_text"))
+    # columns of the two sides are named by their frames, so docs may have any names
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"].cast("binary")) == gone["_text"])
     return docs.join(gone, same, "left_anti")
 
 
