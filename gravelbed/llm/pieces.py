@@ -1,18 +1,24 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
 Words (a run of U+2581 and what follows up to the next one) are searched once for each part
-of a batch and kept in a bounded cache. Words of equal length advance together: for every
-length of piece, substring hashes probe the sorted piece keys, then each end position takes
-the best of its candidates at once and stores a backpointer. Ties go to the longer last piece.
-Characters without a piece cost the model's lowest score less 10 and are spelt in byte pieces.
+of a batch and kept in a bounded cache. Words of equal length advance together: at each end
+position, substring hashes of all lengths probe the sorted piece keys (a hit counts only if the
+characters are equal too), the best of the candidates is taken for all words at once, and a backpointer is
+stored. Ties go to the longer last piece. Characters without a piece are spelt in byte pieces.
 
-The score of a segmentation is the sum of its pieces' scores, as in a unigram model. A model
-file of type BPE holds ranks as scores: its pieces, byte fallback and decoding are the same,
-but the library applies merges in rank order there, so its segmentation may differ.
+Path scores follow the model's type:
+
+* unigram: the sum of the pieces' scores; a character without a piece costs the lowest score less 10.
+* BPE, where scores are the ranks of merges: a step from one piece to the next has the score 0 if the two,
+  merged in rank order, would stay two pieces, and minus infinity if not. A segmentation all of whose steps
+  are of the first kind is what the merges reach, and there is just one, so the ids are those of
+  the library. Whether a pair stays apart is read off the two pieces' last merges, undone one by one
+  (stays_apart); pieces that the merges cannot reach are no candidates.
 
 Null and empty texts have no tokens. U+2581 in a text is read as a space, as the library does.
 Extra columns pass through unless they are named tokens or n_tokens. Rows are encoded alone,
-so ties and repeated rows cannot matter.
+so ties and repeated rows cannot matter. A word of any length is searched in blocks of positions: what grows with it
+are its characters, their hashes and backpointers (about 30 bytes for each character).
 """
 
 from __future__ import annotations
@@ -29,17 +35,31 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from .common import mapped
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The model file; spark.gravelbed.pieces.model names another one.
+MODEL, MODEL_CONF = "/opt/tokenizers/piece_bpe_32k.model", "spark.gravelbed.pieces.model"
 #: Words kept in a worker's cache, and positions searched at once.
-CACHE, POSITIONS = 200_000, 100_000
+CACHE, POSITIONS = 200_000, 50_000
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
+NONE = -1
+
+
+class Merges(NamedTuple):
+    """Merges of a BPE model over its pieces."""
+
+    rank: np.ndarray  # of the merge that makes a piece; pieces of one score share a rank, and there the leftmost merge comes first
+    left: np.ndarray  # what the last merge of a piece joined; itself for a character
+    right: np.ndarray
+    pairs: np.ndarray  # sorted left * 2^32 + right of all pairs that join to a piece
+    joined: np.ndarray  # the rank of each of them
 
 
 class Pieces(NamedTuple):
     """A model as arrays; bounded by its vocabulary, so it travels with the tasks."""
 
-    keys: np.ndarray  # sorted hashes of the ordinary pieces
+    keys: np.ndarray  # sorted hashes of the candidates
+    at: np.ndarray  # their places in the arrays below
+    codes: np.ndarray  # code points of each piece, zeros behind them
     ids: np.ndarray
     scores: np.ndarray
     longest: int
@@ -48,6 +68,7 @@ class Pieces(NamedTuple):
     raw: list[bytes]  # what each id decodes to
     prefix: bool
     cut: bool  # no piece has a line feed, so texts may be cut there
+    merges: Merges | None  # of a BPE model
 
 
 def _powers(n: int) -> np.ndarray:
@@ -62,6 +83,57 @@ def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def merged(piece: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
+    """What is left of a string's characters after all merges, lowest rank and leftmost first, and the last merge."""
+    parts, last = list(piece), None
+    while True:
+        best = min(((rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank), default=None)
+        if best is None:
+            return parts, last
+        i = best[1]
+        last = (parts[i], parts[i + 1])
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def _merges(pieces: list[str], scores: np.ndarray) -> tuple[Merges, np.ndarray]:
+    """The merges of a model's pieces, and which pieces they reach."""
+    place = {p: i for i, p in enumerate(pieces)}
+    ranks = np.unique(-scores, return_inverse=True)[1]
+    rank = {p: int(r) for p, r in zip(pieces, ranks, strict=True) if len(p) > 1}
+    left, right, reached = np.arange(len(pieces)), np.arange(len(pieces)), np.ones(len(pieces), bool)
+    for i, p in enumerate(pieces):
+        if len(p) > 1:
+            parts, last = merged(p, rank)
+            reached[i] = len(parts) == 1
+            if reached[i]:
+                left[i], right[i] = place[last[0]], place[last[1]]
+    cuts = sorted((place[p[:k]] << 32 | place[p[k:]], rank[p]) for p in rank for k in range(1, len(p)) if p[:k] in place and p[k:] in place)
+    return Merges(ranks, left, right, np.array([c for c, _ in cuts], np.int64), np.array([r for _, r in cuts], np.int64)), reached
+
+
+def stays_apart(m: Merges, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """For pairs of neighbouring pieces (NONE: a character without one), whether the merges leave them two.
+
+    Merges are undone at the seam, latest first. If what then stands on both sides of it could have joined
+    before the merge last undone, the pair would not have come about."""
+    out = np.ones(len(one), bool)
+    row = np.flatnonzero((one >= 0) & (two >= 0))
+    a, b = one[row].astype(np.int64), two[row].astype(np.int64)
+    limit = np.full(len(row), np.iinfo(np.int64).max)  # twice the rank of the merge undone, plus 1 if on the right
+    while len(row):
+        pair = a << 32 | b
+        at = np.minimum(np.searchsorted(m.pairs, pair), len(m.pairs) - 1)
+        # on equal ranks the left one of two merges comes first
+        bad = (m.pairs[at] == pair) & (2 * m.joined[at] < limit)
+        out[row[bad]] = False
+        inner_a, inner_b = m.left[a] != a, m.left[b] != b
+        on_left = inner_a & ((m.rank[a] > m.rank[b]) | ~inner_b)
+        go = ~bad & (inner_a | inner_b)
+        limit = np.where(on_left, 2 * m.rank[a], 2 * m.rank[b] + 1)[go]
+        a, b, row = np.where(on_left, m.right[a], a)[go], np.where(on_left, b, m.left[b])[go], row[go]
+    return out
+
+
 def load(path: str = MODEL) -> Pieces:
     import sentencepiece
 
@@ -82,13 +154,46 @@ def load(path: str = MODEL) -> Pieces:
         raise ValueError("the model has no byte pieces")
     if any(SPACE in p.lstrip(SPACE) for p, *_ in plain):
         raise ValueError("the model has pieces that span words")
+    scores = np.array([s for *_, s in plain])
+    ranked = bool((scores <= 0).all() and (scores == np.floor(scores)).all())
+    merges, reached = _merges([p for p, *_ in plain], scores) if ranked else (None, np.ones(len(plain), bool))
+    longest = max(len(p) for p, *_ in plain)
+    codes = np.zeros((len(plain), longest), np.uint32)
+    for row, (p, *_) in zip(codes, plain, strict=True):
+        row[: len(p)] = [*map(ord, p)]
     keys = np.array([_prefix_hashes(np.array([[*map(ord, p)]], np.uint32))[0, -1] for p, *_ in plain], np.uint64)
     if len(np.unique(keys)) < len(keys):
         raise ValueError("two pieces have the same key")
     order = np.argsort(keys)
-    scores = np.array([s for *_, s in plain])
-    ids = np.array([i for _, i, _ in plain], np.int32)
-    return Pieces(keys[order], ids[order], scores[order], max(len(p) for p, *_ in plain), float(scores.min()) - 10.0, spelt, raw, bool(model.encode("a")[:1] != [model.piece_to_id("a")]), not any("\n" in p for p, *_ in plain))
+    order = order[reached[order]]
+    prefix = bool(model.encode("a")[:1] != [model.piece_to_id("a")])
+    return Pieces(keys[order], order, codes, np.array([i for _, i, _ in plain], np.int32), scores, longest, float(scores.min()) - 10.0, spelt, raw, prefix, not any("\n" in p for p, *_ in plain), merges)
+
+
+def named(spark) -> Pieces:
+    """The model that the session names."""
+    return load(spark.conf.get(MODEL_CONF, MODEL))
+
+
+def _candidates(p: Pieces, codes: np.ndarray, hashes: np.ndarray, powers: np.ndarray, first: int, stop: int) -> np.ndarray:
+    """Pieces that end at the positions from first to stop, by their starts from end - longest on; NONE where there is none."""
+    longest = len(powers) - 1
+    out = np.full((len(codes), stop - first, longest), NONE, np.int32)
+    for size in range(1, longest + 1):
+        low = max(first, size)
+        if low >= stop:
+            break
+        probe = hashes[:, low:stop] - hashes[:, low - size : stop - size] * powers[size]
+        at = np.minimum(np.searchsorted(p.keys, probe), len(p.keys) - 1)
+        row, end = np.nonzero(p.keys[at] == probe)
+        piece = p.at[at[row, end]]
+        begin = end + (low - size)
+        same = np.ones(len(row), bool)
+        for k in range(size):
+            same &= codes[row, begin + k] == p.codes[piece, k]
+        same &= (p.codes[piece, size] == 0) if size < p.codes.shape[1] else True
+        out[row[same], end[same] + (low - first), longest - size] = piece[same]
+    return out
 
 
 def viterbi(p: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,34 +202,36 @@ def viterbi(p: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, length = codes.shape
     longest = min(p.longest, length)
     hashes, powers = _prefix_hashes(codes), _powers(longest)
-    found = np.full((n, length + 1, longest), -np.inf)  # by end, and by start from end - longest on
-    where = np.zeros((n, length + 1, longest), np.int32)
-    for size in range(1, longest + 1):
-        probe = hashes[:, size:] - hashes[:, :-size] * powers[size]
-        at = np.minimum(np.searchsorted(p.keys, probe), len(p.keys) - 1)
-        hit = p.keys[at] == probe
-        found[:, size:, longest - size] = np.where(hit, p.scores[at], -np.inf)
-        where[:, size:, longest - size] = p.ids[at]
-    alone = found[:, 1:, longest - 1]
-    missing = np.isneginf(alone)
-    where[:, 1:, longest - 1][missing] = -1 - codes[missing].astype(np.int32)
-    alone[missing] = p.unknown
-    best = np.full((n, length + longest), -np.inf)
-    best[:, longest - 1] = 0.0
-    back = np.zeros((n, length + 1), np.int64)
-    rows = np.arange(n)
-    for end in range(1, length + 1):
-        sums = best[:, end - 1 : end - 1 + longest] + found[:, end]
-        back[:, end] = way = sums.argmax(axis=1)
-        best[:, end + longest - 1] = sums[rows, way]
+    back, last = np.zeros((n, length + 1), np.int8), np.full((n, length + 1), NONE, np.int32)
+    best = np.full((n, longest), -np.inf)  # scores of the positions from end - longest on
+    best[:, -1] = 0.0
+    rows, block = np.arange(n), max(1, POSITIONS // n)
+    for first in range(1, length + 1, block):
+        stop = min(first + block, length + 1)
+        found = _candidates(p, codes, hashes, powers, first, stop)
+        for end in range(first, stop):
+            here = found[:, end - first]
+            if p.merges is None:
+                sums = best + np.where(here >= 0, p.scores[here], -np.inf)
+            else:
+                sums = np.full((n, longest), -np.inf)
+                row, way = np.nonzero((here >= 0) & np.isfinite(best))
+                before = last[row, end - longest + way]
+                apart = (end - longest + way == 0) | stays_apart(p.merges, before, here[row, way])
+                sums[row[apart], way[apart]] = 0.0
+            alone = here[:, -1] == NONE
+            sums[alone, -1] = best[alone, -1] + p.unknown
+            way = sums.argmax(axis=1)
+            back[:, end], last[:, end] = way, here[rows, way]
+            best = np.concatenate([best[:, 1:], sums[rows, way][:, None]], axis=1)
     steps, at, live = [], np.full(n, length), rows
     while len(live):
-        way = back[live, at[live]]
-        steps.append((live, where[live, at[live], way]))
-        at[live] -= longest - way
+        piece = last[live, at[live]]
+        steps.append((live, np.where(piece == NONE, -1 - codes[live, at[live] - 1].astype(np.int64), p.ids[piece])))
+        at[live] -= longest - back[live, at[live]]
         live = live[at[live] > 0]
     row = np.concatenate([r for r, _ in reversed(steps)])
-    ids = np.concatenate([i for _, i in reversed(steps)])
+    ids = np.concatenate([i for _, i in reversed(steps)]).astype(np.int32)
     order = np.argsort(row, kind="stable")
     return ids[order], np.bincount(row, minlength=n)
 
@@ -194,7 +301,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 def encoded(docs: DataFrame, pieces: Pieces | None = None, text: str = "text") -> DataFrame:
     """docs with tokens (array of int) and n_tokens (long)."""
-    p, keep = pieces or load(), [c for c in docs.columns if c not in ("tokens", "n_tokens")]
+    p, keep = pieces or named(docs.sparkSession), [c for c in docs.columns if c not in ("tokens", "n_tokens")]
     own = docs.select(*(F.col(f"`{c}`") for c in keep))
     schema = StructType([*own.schema, StructField("tokens", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
 
@@ -211,7 +318,7 @@ def encoded(docs: DataFrame, pieces: Pieces | None = None, text: str = "text") -
 
 def decoded(rows: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """rows (with tokens) with a column decoded; null tokens decode to an empty text."""
-    p, keep = pieces or load(), [c for c in rows.columns if c != "decoded"]
+    p, keep = pieces or named(rows.sparkSession), [c for c in rows.columns if c != "decoded"]
     own = rows.select(*(F.col(f"`{c}`") for c in keep))
     schema = StructType([*own.schema, StructField("decoded", StringType())])
 
@@ -236,6 +343,6 @@ def decoded(rows: DataFrame, pieces: Pieces | None = None) -> DataFrame:
 
 def op9_pieces(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    p = load()
+    p = named(spark)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
     return decoded(encoded(docs, p), p).select("doc_id", "n_tokens", "tokens", same.alias("round_trip"))

@@ -1,36 +1,71 @@
-"""Piece encoding: exact round trips, and segmentations of the best score by brute force."""
-
-from functools import lru_cache
+"""Piece encoding against the library and against plain dynamic programming; decoding as a round trip."""
 
+import numpy as np
+import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from gravelbed.llm import pieces
 
 
-def test_round_trip_of_whole_table(spark, sf_dir):
+@pytest.fixture(scope="module")
+def model():
+    return pieces.load()
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+
+
+def ids_of(model, texts):
+    ids, sizes = pieces.Encoder(model).encode(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+def test_ids_are_the_librarys_on_the_whole_table(spark, sf_dir, library):
     rows = pieces.op9_pieces(spark, sf_dir).collect()
-    assert rows and all(r["round_trip"] and r["n_tokens"] == len(r["tokens"]) for r in rows)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert len(rows) == len(texts) and all(r["round_trip"] and r["n_tokens"] == len(r["tokens"]) for r in rows)
+    assert {r["doc_id"]: r["tokens"] for r in rows} == {i: library.encode(t) for i, t in texts.items()}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aeinrst▁ \nTh.ĥ漢🙂1", max_size=40))
+def test_random_words_are_the_librarys(model, library, text):
+    assert ids_of(model, [text]) == [library.encode(text)]
+    assert pieces.decode(model, library.encode(text)) == text.replace("▁", " ")
 
 
-def test_best_scores_by_recursion():
-    p, model = pieces.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    score = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-    for text in ("the cat", "naïve Überraschung", "x", "a  b", "1234567"):
-        word = "▁" + text.replace(" ", "▁")
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abc", min_size=1, max_size=12), st.dictionaries(st.text(alphabet="abc", min_size=1, max_size=4), st.floats(-9, -0.5), min_size=1))
+def test_unigram_scores_give_the_best_path(text, scores):
+    words = list(scores)
+    codes = np.zeros((len(words), 4), np.uint32)
+    for row, w in zip(codes, words, strict=True):
+        row[: len(w)] = [*map(ord, w)]
+    keys = np.array([pieces._prefix_hashes(np.array([[*map(ord, w)]], np.uint32))[0, -1] for w in words], np.uint64)
+    order = np.argsort(keys)
+    p = pieces.Pieces(keys[order], order, codes, np.arange(len(words), dtype=np.int32), np.array([scores[w] for w in words]), 4, -20.0, [], [], False, True, None)
+    got, n = pieces.viterbi(p, np.array([[*map(ord, text)]] * 2, np.uint32))
+    assert n[0] == n[1] and got[: n[0]].tolist() == got[n[0] :].tolist()
+    best = [0.0]
+    for end in range(1, len(text) + 1):
+        ways = [best[end - k] + scores[text[end - k : end]] for k in range(1, min(4, end) + 1) if text[end - k : end] in scores]
+        best.append(max([*ways, best[end - 1] - 20.0] if text[end - 1] not in scores else ways))
+    assert sum(scores[words[i]] if i >= 0 else -20.0 for i in got[: n[0]].tolist()) == pytest.approx(best[-1])
 
-        @lru_cache(None)
-        def best(at, word=word):
-            if at == len(word):
-                return 0.0
-            return max(score.get(word[at:end], p.unknown if end == at + 1 else float("-inf")) + best(end) for end in range(at + 1, len(word) + 1))
 
-        ids, _ = pieces.Encoder(p).encode([text])
-        assert sum(model.get_score(int(i)) for i in ids) == best(0) or any(model.is_byte(int(i)) for i in ids)
-        assert pieces.decode(p, ids.tolist()) == text
+def test_long_words_and_blocks_of_positions(model, library, monkeypatch):
+    monkeypatch.setattr(pieces, "POSITIONS", 64)
+    texts = ["thereisnospaceinhere" * 200, " " * 70 + "x" + " " * 33, "", "漢" * 100, "ab\n\ncd"]
+    assert ids_of(model, texts) == [library.encode(t) for t in texts]
 
 
-def test_nulls_empty_clashing_columns_and_odd_characters(spark):
-    rows = [(1, None, 5), (2, "", 5), (3, "日本 \U0001f600\n\n é", 5), (4, " lead and trail ", 5), (5, "w" * 50_000, 5)]
-    out = pieces.decoded(pieces.encoded(spark.createDataFrame(rows, "doc_id long, text string, tokens int"))).collect()
-    assert {r["doc_id"]: r["decoded"] for r in out} == {i: t or "" for i, t, _ in rows}
-    assert pieces.encoded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+def test_nulls_and_clashing_names(spark, model):
+    rows = spark.createDataFrame([(1, "a b", "x", 3), (1, "a b", "x", 3), (2, None, None, None), (None, "", "y", 0)], "doc_id long, text string, tokens string, n_tokens int")
+    got = pieces.encoded(rows, model).collect()
+    assert got[0] == got[1] and [r["n_tokens"] for r in got] == [2, 2, 0, 0] and got[2]["tokens"] == []
+    assert [r["decoded"] for r in pieces.decoded(pieces.encoded(rows, model), model).collect()] == ["a b", "a b", "", ""]
+    assert pieces.encoded(rows.limit(0), model).count() == 0
