@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gravelbed.functions.binary import le, put_le
+from gravelbed.functions.binary import le, put_le, running_sums
 
 #: Fixed values of the block container: magic, header bytes, smallest and largest block.
 MAGIC, HEADER, SMALLEST, LARGEST = 0x4C5A, 14, 64 << 10, 1 << 20
@@ -24,6 +24,26 @@ def device_block_size(n: Column, blocks: int, align: int, low: int | None = None
     return (size if high is None else F.least(size, F.lit(high))).cast("long")
 
 
+def host_block_size(n: Column, units: int, blocks: int | None = None, align: int = 16 << 10, low: int = 64 << 10, high: int = 256 << 10) -> Column:
+    """The host's rule in full: an even share of blocks blocks (128 for each unit), at least units blocks, and a
+    last block under a quarter of the others shared out among them."""
+
+    def even(count: Column) -> Column:
+        return F.least(F.greatest(F.ceil(F.ceil(n / count) / align) * align, F.lit(low)), F.lit(high))
+
+    size = even(F.greatest(F.least(F.lit(units * 128 if blocks is None else blocks), n), F.lit(1)))
+    few = F.ceil(n / size) < units
+    size, count = F.when(few, even(F.lit(units))).otherwise(size), F.when(few, F.lit(units)).otherwise(F.ceil(n / size))
+    small = (count > 1) & (n - size * (count - 1) < F.floor(size / 4)) & (n >= size * (count - 1))
+    return F.when(small, even(count)).otherwise(size).cast("long")
+
+
+def daemon_block_size(n: Column, units: int, align: int = 64 << 10, low: int = 16 << 10, high: int = 128 << 10) -> Column:
+    """The resident service's rule: an even share of 128 blocks for each unit, aligned up (so never under align) and within limits."""
+    share = F.ceil(n / F.greatest(F.least(F.lit(units * 128), n), F.lit(1)))
+    return F.least(F.greatest(F.ceil(share / align) * align, F.lit(max(align, low))), F.lit(high)).cast("long")
+
+
 def block_count(n: Column, size: Column) -> Column:
     return F.when(n > 0, F.ceil(n / size)).otherwise(0).cast("long")
 
@@ -48,37 +68,35 @@ def with_offsets(blocks: DataFrame, key: str, length: Column) -> DataFrame:
     return blocks.withColumn("packed_offset", F.coalesce(F.sum(length).over(before), F.lit(0)).cast("long"))
 
 
-def containers(blocks: DataFrame, key: str, original: Column, size: Column) -> DataFrame:
-    """key and container (header, table of lengths, payloads in block order) of the blocks of each key."""
-    rows = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block_id", "payload"))).alias("parts"), F.max(original).alias("n"), F.max(size).alias("size"))
-    lengths = F.transform("parts", lambda p: put_le(F.octet_length(p["payload"]), 4))
-    payloads = F.transform("parts", lambda p: p["payload"])
-
-    def joined(pieces: Column) -> Column:
-        return F.unhex(F.array_join(F.transform(pieces, lambda x: F.hex(x)), ""))
+def containers(rows: DataFrame, blocks: DataFrame, key: str, original: Column, size: Column) -> DataFrame:
+    """key and container (header, table of lengths, payloads in block order) for each row of rows (one for each key),
+    with the blocks (key, block_id, payload) of that key; a row without blocks gets a container without any.
 
-    head = F.concat(put_le(F.lit(MAGIC), 2), put_le(F.col("n"), 4), put_le(F.col("size"), 4), put_le(F.size("parts"), 4))
-    return rows.select(key, F.concat(head, joined(lengths), joined(payloads)).alias("container"))
+    Arrays of binary values have no join of their own, so payloads meet as hexadecimal digits: twice their size, one container at a time."""
+    each = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block_id", "payload"))).alias("_parts"))
+    both = rows.select(key, original.alias("_n"), size.alias("_size")).join(each, key, "left").withColumn("_parts", F.coalesce("_parts", F.array()))
+    table = F.array_join(F.transform("_parts", lambda p: F.hex(put_le(F.octet_length(p["payload"]), 4))), "")
+    payloads = F.array_join(F.transform("_parts", lambda p: F.hex(p["payload"])), "")
+    head = F.concat(put_le(F.lit(MAGIC), 2), put_le(F.col("_n"), 4), put_le(F.col("_size"), 4), put_le(F.size("_parts"), 4))
+    return both.select(key, F.concat(head, F.unhex(F.concat(table, payloads))).alias("container"))
 
 
 def parsed(rows: DataFrame, key: str, container: str = "container") -> DataFrame:
-    """key, status, block_id, plain_bytes, payload of each container's blocks; a bad container is one row with its fault."""
-    c = F.col(container)
+    """key, status, block_id, plain_bytes, payload of each container's blocks; one without blocks, or a bad one, is one row
+    with null in the last three. A block's place is the running sum of the lengths before it."""
+    c = F.col("_c")
     n, total = le(c, 10, 4), F.octet_length(c).cast("long")
-    table = HEADER + 4 * n
-    status = F.when(total < HEADER, "too small").when(le(c, 0, 2) != MAGIC, "bad magic").when(total < table, "short length table").otherwise("ok")
-    out = rows.select(key, c.alias("_c"), status.alias("status"))
-    c, n = F.col("_c"), le(F.col("_c"), 10, 4)
-    lengths = F.when((F.col("status") == "ok") & (n > 0), F.transform(ids_of(n), lambda i: le(c, (HEADER + 4 * i).cast("int"), 4)))
-    out = out.withColumn("_len", lengths)
-    whole = F.aggregate(F.coalesce("_len", F.array().cast("array<long>")), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = out.withColumn("status", F.when((F.col("status") == "ok") & (F.octet_length("_c") < HEADER + 4 * n + whole), "short payload").otherwise(F.col("status")))
-    blocks = F.when(F.col("status") == "ok", F.transform("_len", lambda x, i: F.struct(i.cast("long").alias("block_id"), x.alias("n"), F.aggregate(F.slice(F.col("_len"), 1, i), F.lit(0).cast("long"), lambda a, y: a + y).alias("at"))))
-    out = out.select(key, "_c", "status", F.explode_outer(blocks).alias("b"))
-    plain = F.least(le(F.col("_c"), 6, 4), le(F.col("_c"), 2, 4) - F.col("b.block_id") * le(F.col("_c"), 6, 4))
-    payload = F.substring(F.col("_c"), (HEADER + 4 * le(F.col("_c"), 10, 4) + F.col("b.at") + 1).cast("int"), F.col("b.n").cast("int"))
-    return out.select(key, "status", F.col("b.block_id").alias("block_id"), F.when(F.col("b").isNotNull(), plain).alias("plain_bytes"), F.when(F.col("b").isNotNull(), payload).alias("payload"))
-
-
-def ids_of(n: Column) -> Column:
-    return F.sequence(F.lit(0).cast("long"), n - 1)
+    status = F.when(total < HEADER, "too small").when(le(c, 0, 2) != MAGIC, "bad magic").when(total < HEADER + 4 * n, "short length table").otherwise("ok")
+    out = rows.select(key, F.col(container).alias("_c")).select(key, "_c", status.alias("status"))
+    first = HEADER + 4 * le(F.col("_c"), 10, 4)
+    table = F.when(F.col("status") == "ok", F.substring(c, F.lit(HEADER + 1), (first - HEADER).cast("int")))
+    out = out.withColumn("_ends", running_sums(F.coalesce(table, F.lit(b""))))
+    short = (F.col("status") == "ok") & (F.octet_length("_c") < first + F.coalesce(F.try_element_at("_ends", F.lit(-1)), F.lit(0)))
+    out = out.withColumn("status", F.when(short, "short payload").otherwise(F.col("status")))
+    ends = F.when(F.col("status") == "ok", F.col("_ends"))
+    spans = F.transform(ends, lambda x, i: F.struct(F.when(i > 0, F.get("_ends", i - 1)).otherwise(0).alias("at"), x.alias("end")))
+    out = out.select(key, "_c", "status", F.posexplode_outer(spans).alias("block_id", "_b"))
+    plain = F.least(le(c, 6, 4), le(c, 2, 4) - F.col("block_id") * le(c, 6, 4))
+    payload = F.substring(c, (first + F.col("_b.at") + 1).cast("int"), (F.col("_b.end") - F.col("_b.at")).cast("int"))
+    there = F.col("_b").isNotNull()
+    return out.select(key, "status", F.col("block_id").cast("long").alias("block_id"), F.when(there, plain).alias("plain_bytes"), F.when(there, payload).alias("payload"))

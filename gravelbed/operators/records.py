@@ -17,14 +17,19 @@ def delta_percent(value: Column, base: Column) -> Column:
     return F.when(base != 0, (value - base) / base * 100).when(base == 0, 0.0)
 
 
-def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], parts: int = 32) -> DataFrame:
     """For each group the value at place floor(n * share), at most n - 1, in rising order.
 
-    Values are counted first, so a group is as many rows as it has distinct values, and
-    places come from running counts over those."""
+    Values are counted first, so a group is as many rows as it has distinct values. Those are dealt by ranges of (keys, value),
+    so a group may span many tasks; a table of each range's sums (parts rows a group at most) gives what comes before it."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    dealt = counts.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id())
     own = Window.partitionBy(*keys)
-    upto = counts.withColumns({"_n": F.sum("_c").over(own), "_to": F.sum("_c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_sum"))
+    sums = sums.withColumns({"_n": F.sum("_sum").over(own), "_before": F.coalesce(F.sum("_sum").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    each = dealt.alias("r").join(F.broadcast(sums.alias("s")), [F.col("r._part") == F.col("s._part"), *same]).select("r.*", "_n", "_before")
+    upto = each.withColumn("_to", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
 
     def at(share: float) -> Column:
         place = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
@@ -57,3 +62,35 @@ def against_base(rows: DataFrame, key: str, variant: str, suffix: str, value: st
     v = rows.filter(F.col(variant).endswith(suffix)).withColumn("_base", F.substring(F.col(variant), F.lit(1), F.length(variant) - len(suffix)))
     b = rows.select(F.col(key), F.col(variant).alias("_base"), F.col(value).alias("base"))
     return v.join(b, [key, "_base"]).select(key, variant, value, "base", delta_percent(F.col(value), F.col("base")).alias("delta"))
+
+
+def means_by(rows: DataFrame, keys: list[str], values: list[str], missing: float | None = None) -> DataFrame:
+    """Means of values by keys; with missing, a missing value counts as that number."""
+    return rows.groupBy(*keys).agg(*(F.avg(F.col(v) if missing is None else F.coalesce(v, F.lit(missing))).alias(v) for v in values))
+
+
+def wide_against(rows: DataFrame, keys: list[str], column: str, values: list[str], metrics: list[str], base: str) -> DataFrame:
+    """Keys, then for each of the given values and metrics a column value_metric with its mean, and delta_value_metric with
+    its difference in per cent from the value base."""
+    out = rows.groupBy(*keys).pivot(column, values).agg(*(F.avg(m).alias(m) for m in metrics))
+    deltas = {f"delta_{v}_{m}": delta_percent(F.col(f"`{v}_{m}`"), F.col(f"`{base}_{m}`")) for v in values if v != base for m in metrics}
+    return out.withColumns(deltas)
+
+
+def long_statistics(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Keys, metric, n, mean, spread (of the population), least, most: a row for each group and metric, missing values left out."""
+    long = rows.unpivot(keys, metrics, "metric", "value").filter("value IS NOT NULL AND NOT isnan(value)")
+    v = F.col("value")
+    return long.groupBy(*keys, "metric").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("spread"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def best(rows: DataFrame, score: str, tie: str, count: int, rising: bool = False) -> DataFrame:
+    """The count rows of the highest (or, rising, lowest) scores with their place from 1; missing and NaN scores left out."""
+    order = [F.col(score).asc() if rising else F.col(score).desc(), F.col(tie)]
+    top = rows.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).orderBy(*order).limit(count)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """A small table (of groups, not of rows) with each row's place from 1 in an order."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gravelbed.functions.binary import adler32, crc32
 from gravelbed.operators import blocks, codec, records
+from gravelbed.scratch import written
 
 _QUERIES = {}
 _SQL = {}
@@ -78,14 +79,18 @@ def codec_round_trip(spark, sf_dir):
     return back.select("doc_id", "n", same.alias("same"), (F.octet_length("packed") <= blocks.expansion_bound(F.col("n"))).alias("within_bound"))
 
 
-@query("container_round_trip", "SELECT doc_id, CAST(ceil(n / 4096.0) AS BIGINT) AS n_blocks, n AS n_bytes, true AS same FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents) WHERE n > 0")
+@query("container_round_trip", """
+SELECT doc_id, CAST(ceil(n / 4096.0) AS BIGINT) AS n_blocks, n AS n_bytes, 14 + 4 * CAST(ceil(n / 4096.0) AS BIGINT) + n AS n_packed, md5(x) AS plain_md5
+FROM (SELECT doc_id, coalesce(text, '') AS x, strlen(coalesce(text, '')) AS n FROM documents)""")
 def container_round_trip(spark, sf_dir):
+    """Containers of given payloads (here the blocks themselves), parsed and laid end to end again; empty values too."""
     rows = _payloads(spark, sf_dir)
-    cut = blocks.sliced(rows, "value", 4096).withColumn("payload", codec.encoded("block"))
-    back = blocks.parsed(blocks.containers(cut, "doc_id", F.col("n"), F.lit(4096)), "doc_id")
-    plain = back.withColumn("d", codec.decoded("payload", "plain_bytes")).select("doc_id", "block_id", F.col("d.plain").alias("plain"))
-    both = plain.join(blocks.sliced(rows, "value", 4096).select("doc_id", F.col("block_id").cast("long").alias("block_id"), "block"), ["doc_id", "block_id"])
-    return both.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.octet_length("plain")).cast("long").alias("n_bytes"), F.bool_and(F.col("plain") == F.col("block")).alias("same"))
+    cut = blocks.sliced(rows, "value", 4096).withColumnRenamed("block", "payload")
+    made = written(blocks.containers(rows, cut, "doc_id", F.col("n"), F.lit(4096)), "containers")
+    back = blocks.parsed(made, "doc_id").filter("status = 'ok'")
+    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("block_id").isNotNull(), F.struct("block_id", "payload")))), lambda p: F.hex(p["payload"])), ""))
+    plain = back.groupBy("doc_id").agg(F.count("block_id").alias("n_blocks"), F.coalesce(F.sum("plain_bytes"), F.lit(0)).alias("n_bytes"), F.md5(whole).alias("plain_md5"))
+    return plain.join(made.select("doc_id", F.octet_length("container").cast("long").alias("n_packed")), "doc_id")
 
 
 @query("checksums")
@@ -93,6 +98,22 @@ def checksums(spark, sf_dir):
     return _payloads(spark, sf_dir).select("doc_id", "n", adler32("value").alias("adler32"), crc32(F.col("value")).alias("crc32"))
 
 
+@query("adler_sums", """
+SELECT doc_id, n, ((n + coalesce(list_sum(list_transform(bytes, lambda v, i: (n - i + 1) * v)), 0)) % 65521) * 65536 + (1 + coalesce(list_sum(bytes), 0)) % 65521 AS adler32 FROM (
+SELECT doc_id, n, list_transform(regexp_extract_all(h, '..'), lambda x: CAST(instr('123456789ABCDEF', x[1]) * 16 + instr('123456789ABCDEF', x[2]) AS BIGINT)) AS bytes FROM (
+SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents))""")
+def adler_sums(spark, sf_dir):
+    return _payloads(spark, sf_dir).select("doc_id", "n", adler32("value").alias("adler32"))
+
+
+@query("crc_of_names", """
+WITH t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+b AS (SELECT p_partkey, list_transform(range(0, strlen(p_name)), lambda i: CAST(instr('123456789ABCDEF', hex(encode(p_name))[2 * i + 1]) * 16 + instr('123456789ABCDEF', hex(encode(p_name))[2 * i + 2]) AS BIGINT)) AS bytes FROM part)
+SELECT p_partkey, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda a, v: xor(a >> 8, tab[1 + xor(a, v) % 256])), 4294967295) AS crc32 FROM b, t""")
+def crc_of_names(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", crc32(F.col("p_name").cast("binary")).alias("crc32"))
+
+
 @query("group_means", """
 SELECT l_returnflag, l_linestatus, count(*) AS n, avg(l_quantity) AS mean, median(l_quantity) AS middle, stddev_pop(l_quantity) AS spread
 FROM lineitem GROUP BY ALL""")

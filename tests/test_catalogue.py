@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from gravelbed.plans import catalogue
+from gravelbed.plans import catalogue, reports  # noqa: F401
 
 
 def plain(v):
