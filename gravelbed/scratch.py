@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,6 +21,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="gravelbed-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
         root = _OWN[0]
     return f"{root.rstrip('/')}/gravelbed/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
