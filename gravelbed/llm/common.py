@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gravelbed.scratch import scratch_path
+
 #: ASCII whitespace, the only separator of words.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
-_OWN: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="gravelbed-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return _OWN[0]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/gravelbed/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 #: Spark removes a query's shuffle files when the query ends, so that disk use is that of the largest step.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -59,7 +38,9 @@ def forget(df: DataFrame | None) -> None:
 
 
 def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) by batches of a bounded number of bytes, as whole texts may be long."""
+    """df.mapInArrow(run, schema) by batches of a bounded number of bytes, as whole texts may be long.
+
+    Spark reads the bound when the plan runs, so the session keeps it; it holds for Arrow batches alone."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df.mapInArrow(run, schema)
 

@@ -52,6 +52,8 @@ BUCKET = 64
 SEGMENTS = (22, 21, 21)
 #: near_duplicates(): bits of a parity sketch, rounds of stars before all pairs, rows of a bucket that one group holds.
 BITS, STARS, PART = 512, 1, 4096
+#: Nodes to be verified up to which their keys (16 bytes each) are broadcast; beyond it texts meet them by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Rows of a bucket that all others are compared with in a round of stars.
 HUBS = 8
 #: Sampled documents for the order of shingles (one in 16 at most), how many must hold a common one, and the longest list.
@@ -246,8 +248,24 @@ def _common(rows: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in most], np.int64).view(np.uint64))
 
 
+def _parity(h: np.ndarray, bits: int) -> bytes:
+    """Parity of the number of hashes that fall on each of bits places, a power of two."""
+    counts = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """How many members at least two sets do not share, by their sketches; the longer is folded to the shorter."""
+    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _prefixed(rows: DataFrame, words: int, threshold: float, common: np.ndarray) -> DataFrame:
-    """doc_id, text_key of the texts that have words; node: a hash of the set of shingles; its size, fingerprint, parity sketch and prefix."""
+    """doc_id, text_key of the texts that have words; node: a hash of the set of shingles; its size, fingerprint, parity
+    sketches and prefix. A set of over BITS shingles has a sketch of about a bit for each besides the one of BITS bits."""
 
     def run(batches):
         for batch in batches:
@@ -256,17 +274,17 @@ def _prefixed(rows: DataFrame, words: int, threshold: float, common: np.ndarray)
                 sets = [_set(x or b"", words) for x in part.column("text").to_pylist()]
                 for h, fp in zip(sets, fingerprint(sets)[:, 0].view(np.int64).tolist(), strict=True):
                     if not len(h):
-                        out.append((None, 0, 0, b"", []))
+                        out.append((None, 0, 0, b"", None, []))
                         continue
-                    late = np.isin(h, common)
+                    late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
                     first = np.concatenate([h[~late], h[late]])[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1]
-                    parity = np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                    out.append((xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), len(h), fp, np.packbits(parity.astype(np.uint8)).tobytes(), first.view(np.int64)))
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
-                names = ["doc_id", "text_key", "node", "size", "fp", "sketch", "prefix"]
+                    wide = _parity(h, 1 << (len(h) - 1).bit_length()) if len(h) > BITS else None
+                    out.append((xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), len(h), fp, _parity(h, BITS), wide, first.view(np.int64)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)]
+                names = ["doc_id", "text_key", "node", "size", "fp", "sketch", "wide", "prefix"]
                 yield pa.record_batch([part.column("doc_id"), part.column("text_key"), *columns], names=names).filter(columns[0].is_valid())
 
-    return mapped(rows, run, "doc_id long, text_key long, node long, size long, fp long, sketch binary, prefix array<long>")
+    return mapped(rows, run, "doc_id long, text_key long, node long, size long, fp long, sketch binary, wide binary, prefix array<long>")
 
 
 def _offered(rows: DataFrame, threshold: float, stars: int | None) -> DataFrame:
@@ -329,7 +347,24 @@ def _offered(rows: DataFrame, threshold: float, stars: int | None) -> DataFrame:
     return mapped(dealt, run, "u long, v long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, words: int, threshold: float) -> DataFrame:
+def _screened(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """pairs without those of two large sets that the long sketches prove to be below the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            most = (1 - 2 * threshold / (1 + threshold)) * (batch.column("size_u").to_numpy() + batch.column("size_v").to_numpy()) + 1e-6
+            apart = [_apart(a, b) for a, b in zip(batch.column("wide_u").to_pylist(), batch.column("wide_v").to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(np.array(apart) <= most))
+
+    large = nodes.filter("wide IS NOT NULL")
+    for side in ("u", "v"):
+        pairs = pairs.join(large.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("wide").alias(f"wide_{side}")), side, "left")
+    pairs = written(pairs, "sketched")
+    both = F.col("wide_u").isNotNull() & F.col("wide_v").isNotNull()
+    return pairs.filter(~both).select("u", "v").unionByName(mapped(pairs.filter(both), run, "u long, v long"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs whose sets of shingles have at least the threshold's Jaccard similarity."""
 
     def run(batches):
@@ -338,13 +373,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, words: int, t
                 sets = [_set(t, words).view(np.int64) for t in texts]
                 yield pa.record_batch([ids, pa.array(sets, pa.list_(pa.int64()))], names=["id", "runs"])
 
+    pairs = written(_screened(pairs, nodes, threshold), "screened")
     named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    one = rows.join(named, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    held = texts.select("text_key", "text").join(one, "text_key").dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text")
+    one = written(nodes.select("node", "text_key").join(named, "node", "left_semi"), "one")
+    few = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
+    held = texts.select("text_key", "text").join(few, "text_key").dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text")
     sets = written(mapped(held, run, "id long, runs array<long>"), "sets")
     a, b = (sets.select(F.col("id").alias(x), F.col("runs").alias(y)) for x, y in (("u", "a"), ("v", "b")))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").filter(both >= threshold * (F.size("a") + F.size("b") - both)).select("u", "v")
+    out = written(pairs.join(a, "u").join(b, "v").filter(both >= threshold * (F.size("a") + F.size("b") - both)).select("u", "v"), "links")
+    for done in (pairs, one, sets):
+        forget(done)
+    return out
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -368,9 +408,8 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionByName(links.select(F.least("u_hub", "v_hub").alias("u"), F.greatest("u_hub", "v_hub").alias("v")))
 
 
-def _joined(rows: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+def _joined(nodes: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """node, component of the nodes (sets of shingles) that link to another one."""
-    nodes = written(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "fp", "sketch", "prefix"))), "nodes")
     links = parts = buckets = None
     for step in ["fingerprints", *range(STARS), None]:
         if step == "fingerprints":
@@ -382,7 +421,7 @@ def _joined(rows: DataFrame, texts: DataFrame, words: int, threshold: float) ->
         pairs = written(offered, "pairs")
         if pairs.isEmpty():
             continue
-        more = written(_verified(pairs, texts, rows, words, threshold), "links")
+        more = _verified(pairs, texts, nodes, words, threshold)
         forget(pairs)
         if parts is not None and more.isEmpty():
             continue
@@ -400,8 +439,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     (doc_id, text_key): rows equal in both are one, rows of one id with other texts are several, and
     rows without an id come after all others. Of a group the first one is kept."""
     texts = _keyed(docs)
-    rows = written(_prefixed(texts, words, threshold, _common(texts, words)), "rows")
-    parts = _joined(rows, texts, words, threshold)
+    prefixed = written(_prefixed(texts, words, threshold, _common(texts, words)), "prefixed")
+    rows = written(prefixed.select("doc_id", "text_key", "node"), "rows")
+    nodes = written(prefixed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("text_key", "size", "fp", "sketch", "wide", "prefix"))), "nodes")
+    forget(prefixed)
+    parts = _joined(nodes, texts, words, threshold)
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     each = rows.groupBy("node").agg(F.min(one).alias("least"), F.max(one).alias("last")).join(parts, "node", "left")
     each = written(each.withColumn("component", F.coalesce("component", "node")), "nodes")
