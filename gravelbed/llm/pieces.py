@@ -38,12 +38,26 @@ from .common import mapped
 #: The model file; spark.gravelbed.pieces.model names another one.
 MODEL, MODEL_CONF = "/opt/tokenizers/piece_bpe_32k.model", "spark.gravelbed.pieces.model"
 #: Words kept in a worker's cache, and positions searched at once.
-CACHE, POSITIONS = 200_000, 50_000
+CACHE, POSITIONS = 200_000, 100_000
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = -1
 
 
+#: Bits of the tables that say whether a hash may be one of the sorted keys, so most probes end there.
+SIEVE = 22
+
+
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << SIEVE, bool)
+    out[_place(keys)] = True
+    return out
+
+
+def _place(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) * BASE >> np.uint64(64 - SIEVE)).astype(np.int64)
+
+
 class Merges(NamedTuple):
     """Merges of a BPE model over its pieces."""
 
@@ -52,12 +66,14 @@ class Merges(NamedTuple):
     right: np.ndarray
     pairs: np.ndarray  # sorted left * 2^32 + right of all pairs that join to a piece
     joined: np.ndarray  # the rank of each of them
+    sieve: np.ndarray
 
 
 class Pieces(NamedTuple):
     """A model as arrays; bounded by its vocabulary, so it travels with the tasks."""
 
     keys: np.ndarray  # sorted hashes of the candidates
+    sieve: np.ndarray
     at: np.ndarray  # their places in the arrays below
     codes: np.ndarray  # code points of each piece, zeros behind them
     ids: np.ndarray
@@ -108,7 +124,8 @@ def _merges(pieces: list[str], scores: np.ndarray) -> tuple[Merges, np.ndarray]:
             if reached[i]:
                 left[i], right[i] = place[last[0]], place[last[1]]
     cuts = sorted((place[p[:k]] << 32 | place[p[k:]], rank[p]) for p in rank for k in range(1, len(p)) if p[:k] in place and p[k:] in place)
-    return Merges(ranks, left, right, np.array([c for c, _ in cuts], np.int64), np.array([r for _, r in cuts], np.int64)), reached
+    pairs = np.array([c for c, _ in cuts], np.int64)
+    return Merges(ranks, left, right, pairs, np.array([r for _, r in cuts], np.int64), _sieve(pairs)), reached
 
 
 def stays_apart(m: Merges, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -122,9 +139,11 @@ def stays_apart(m: Merges, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     limit = np.full(len(row), np.iinfo(np.int64).max)  # twice the rank of the merge undone, plus 1 if on the right
     while len(row):
         pair = a << 32 | b
-        at = np.minimum(np.searchsorted(m.pairs, pair), len(m.pairs) - 1)
+        bad = m.sieve[_place(pair)]
+        may = np.flatnonzero(bad)
+        at = np.minimum(np.searchsorted(m.pairs, pair[may]), len(m.pairs) - 1)
         # on equal ranks the left one of two merges comes first
-        bad = (m.pairs[at] == pair) & (2 * m.joined[at] < limit)
+        bad[may] = (m.pairs[at] == pair[may]) & (2 * m.joined[at] < limit[may])
         out[row[bad]] = False
         inner_a, inner_b = m.left[a] != a, m.left[b] != b
         on_left = inner_a & ((m.rank[a] > m.rank[b]) | ~inner_b)
@@ -167,7 +186,7 @@ def load(path: str = MODEL) -> Pieces:
     order = np.argsort(keys)
     order = order[reached[order]]
     prefix = bool(model.encode("a")[:1] != [model.piece_to_id("a")])
-    return Pieces(keys[order], order, codes, np.array([i for _, i, _ in plain], np.int32), scores, longest, float(scores.min()) - 10.0, spelt, raw, prefix, not any("\n" in p for p, *_ in plain), merges)
+    return Pieces(keys[order], _sieve(keys[order]), order, codes, np.array([i for _, i, _ in plain], np.int32), scores, longest, float(scores.min()) - 10.0, spelt, raw, prefix, not any("\n" in p for p, *_ in plain), merges)
 
 
 def named(spark) -> Pieces:
@@ -184,9 +203,10 @@ def _candidates(p: Pieces, codes: np.ndarray, hashes: np.ndarray, powers: np.nda
         if low >= stop:
             break
         probe = hashes[:, low:stop] - hashes[:, low - size : stop - size] * powers[size]
-        at = np.minimum(np.searchsorted(p.keys, probe), len(p.keys) - 1)
-        row, end = np.nonzero(p.keys[at] == probe)
-        piece = p.at[at[row, end]]
+        row, end = np.nonzero(p.sieve[_place(probe)])
+        at = np.minimum(np.searchsorted(p.keys, probe[row, end]), len(p.keys) - 1)
+        hit = p.keys[at] == probe[row, end]
+        row, end, piece = row[hit], end[hit], p.at[at[hit]]
         begin = end + (low - size)
         same = np.ones(len(row), bool)
         for k in range(size):
@@ -308,8 +328,8 @@ def encoded(docs: DataFrame, pieces: Pieces | None = None, text: str = "text") -
     def run(batches):
         encoder = Encoder(p)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ids, sizes = encoder.encode([x or "" for x in part.column(text).to_pylist()])
                 yield pa.record_batch([*part.columns, _lists(ids, sizes), pa.array(sizes)], names=[*keep, "tokens", "n_tokens"])
 

@@ -47,7 +47,7 @@ def test_unigram_scores_give_the_best_path(text, scores):
         row[: len(w)] = [*map(ord, w)]
     keys = np.array([pieces._prefix_hashes(np.array([[*map(ord, w)]], np.uint32))[0, -1] for w in words], np.uint64)
     order = np.argsort(keys)
-    p = pieces.Pieces(keys[order], order, codes, np.arange(len(words), dtype=np.int32), np.array([scores[w] for w in words]), 4, -20.0, [], [], False, True, None)
+    p = pieces.Pieces(keys[order], pieces._sieve(keys[order]), order, codes, np.arange(len(words), dtype=np.int32), np.array([scores[w] for w in words]), 4, -20.0, [], [], False, True, None)
     got, n = pieces.viterbi(p, np.array([[*map(ord, text)]] * 2, np.uint32))
     assert n[0] == n[1] and got[: n[0]].tolist() == got[n[0] :].tolist()
     best = [0.0]
