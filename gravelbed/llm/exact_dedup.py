@@ -211,14 +211,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     gone = each.filter(~F.coalesce("kept", F.lit(False))).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
     sha = F.sha2(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)
-    rows = docs.withColumn("_sha256", sha)
-    rows = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (rows["_sha256"] == gone["_sha"]), "left_anti")
-    several = written(each.filter("kept").groupBy(F.col("text_sha256").alias("_sha256")).count().filter("count > 1").select("_sha256"), "several")
-    if several.isEmpty():
-        return rows.drop("_sha256")
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    first = rows.join(several, "_sha256", "left_semi").groupBy("_sha256").agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
-    return rows.join(several, "_sha256", "left_anti").drop("_sha256").unionByName(first.select("_row.*"))
+    # a row travels as one value, so its columns may have any names
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("id"), sha.alias("sha"))
+    rows = rows.join(gone, rows["id"].eqNullSafe(gone["_gone"]) & (rows["sha"] == gone["_sha"]), "left_anti")
+    several = written(each.filter("kept").groupBy(F.col("text_sha256").alias("sha")).count().filter("count > 1").select("sha"), "several")
+    if not several.isEmpty():
+        first = rows.join(several, "sha", "left_semi").groupBy("sha").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        rows = rows.join(several, "sha", "left_anti").select("row").unionByName(first.select("row"))
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

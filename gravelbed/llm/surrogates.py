@@ -4,7 +4,7 @@ Detection, surrogates and replacement are built-in column functions (no Python,
 pattern finds e-mail addresses, phone and card numbers, social security numbers, IPv4 addresses,
 IBANs, hexadecimal secrets, and person names (after an honorific or a known given name).
 
-A surrogate is drawn from SHA-256(key, type, normalised entity, attempt): digits become
+A surrogate is drawn from SHA-256(key, type, normalised entity, attempt), the key being a setting of the session: digits become
 digits and letters letters of the same case, punctuation and length stay. E-mail domains are
 drawn apart, so that addresses of one domain still share one, and keep their last label; the
 octets of an address stay in range; card and IBAN prefixes stay, and a card that passes the Luhn
@@ -25,12 +25,13 @@ they have the name of an added one (surrogate_text, kinds), which replaces them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, written
 
-KEY = "gravelbed"
+#: The session's setting that holds the secret key, and the key of tests and demonstrations where it is unset.
+KEY_CONF, KEY = "spark.gravelbed.surrogates.key", "gravelbed"
 ATTEMPTS = 64
 NONE = "map<string,int>"
 
@@ -88,8 +89,12 @@ def normal(kind: Column, match: Column) -> Column:
     )
 
 
+def _key() -> str:
+    return SparkSession.active().conf.get(KEY_CONF, KEY)
+
+
 def _digest(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.lit(KEY), *(p.cast("string") for p in parts)), 256)
+    return F.sha2(F.concat_ws("\x1f", F.lit(_key()), *(p.cast("string") for p in parts)), 256)
 
 
 def _drawn(digest: Column, i: Column, n: int | Column) -> Column:

@@ -10,8 +10,7 @@ the sample's ids are broadcast under that bound; scoring covers every row.
 
 Nulls: a null or empty text has zero counts and is scored like any other. Labels with a
 null toxic are skipped; of repeated labels the largest counts. Repeated rows are scored
-alike; extra columns pass through unless they have the name of an added one, which replaces
-them. Without rows of both classes in the training folds the score is the share of hits in
+alike; extra columns of accepted() pass through whatever their names. Without rows of both classes in the training folds the score is the share of hits in
 the fixed lexicon, 1 - 1 / (1 + hits per 100 words).
 """
 
@@ -184,8 +183,9 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str], limit: int = SAM
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows predicted toxic; all columns stay."""
-    return scored(docs, labels, docs.columns).filter("predicted = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs without the rows predicted toxic; all columns stay, whatever their names."""
+    whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return scored(whole, labels, ["doc_id", "_row"]).filter("predicted = 0").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
