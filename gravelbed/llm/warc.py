@@ -10,7 +10,12 @@ Reading: archives are loaded by Spark's binaryFile source, and each is parsed fr
 Where a member or record fails a check (gzip checksum, version line, header, block length,
 payload digest), the reader searches for the next gzip magic or WARC version line from which
 a whole valid record can be read, goes on there, and reports the bytes between as a gap.
-Plain and gzip records may alternate. A gap is logged as (archive, offset, n_bytes, reason).
+Plain and gzip records may alternate, and a member may hold several records: those before and
+after a bad one in it are read, and of a damaged member those whose payload digest holds and that
+other unpacked bytes follow, so the one at the damage stays quarantined. Records have the offset and bytes of their member (no bytes in a damaged
+one), which is logged as a gap too. The payload of an HTTP message is its body; a chunked one
+is not held against its digest. A gap is logged as (archive, offset, n_bytes, reason). An archive
+and its largest unpacked member are held by one task.
 
 Nulls: a null html is an empty payload. A null page_id is written as none and comes back as
 null; it yields to any row with an id as response, and where a group has no id all its rows
@@ -79,8 +84,18 @@ class Found(NamedTuple):
     reason: str | None
 
 
-def _parsed(data, at: int) -> tuple[int, str, dict[str, str], bytes]:
-    """End, type, headers and block of the plain record at a place; ValueError if it fails a check."""
+class Record(NamedTuple):
+    """A plain record: where it ends, and whether its payload was held against a digest."""
+
+    end: int
+    kind: str
+    headers: dict[str, str]
+    block: bytes
+    checked: bool
+
+
+def _parsed(data, at: int) -> Record:
+    """The plain record at a place; ValueError if it fails a check."""
     first = _FIRST_LINE.match(data, at)
     if not first:
         raise ValueError("no version line")
@@ -101,52 +116,89 @@ def _parsed(data, at: int) -> tuple[int, str, dict[str, str], bytes]:
         raise ValueError("block cut short")
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("block of another length")
-    block, digest = bytes(data[begin:end]), headers.get("warc-payload-digest", "")
-    if headers["warc-type"] == "response" and digest.startswith("sha1:") and base32_sha1(block) != digest[5:]:
+    block, kind = bytes(data[begin:end]), headers["warc-type"]
+    if kind != "response":
+        return Record(end + 4, kind, headers, block, False)
+    payload, digest = payload_of(headers, block), headers.get("warc-payload-digest", "")
+    length = headers.get("x-payload-length", "")
+    if length.isascii() and length.isdigit() and int(length) != len(payload):
+        raise ValueError("payload length")
+    checked = len(digest) == 37 and digest.startswith("sha1:") and not _chunked(headers, block)
+    if checked and base32_sha1(payload) != digest[5:].upper():
         raise ValueError("payload digest")
-    return end + 4, headers["warc-type"], headers, block
+    return Record(end + 4, kind, headers, block, checked)
 
 
-def _one(data: bytes, at: int) -> tuple[int, str, dict[str, str], bytes]:
-    """The record at a place, plain or in a gzip member of its own."""
-    if data[at : at + 3] != b"\x1f\x8b\x08":
-        return _parsed(data, at)
+def _chunked(headers: dict[str, str], block: bytes) -> bool:
+    head = block.partition(b"\r\n\r\n")[0]
+    return headers.get("content-type", "").startswith("application/http") and re.search(rb"(?im)^transfer-encoding:.*chunked", head) is not None
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """The body of an HTTP message, any other block as it is."""
+    return block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
+
+
+def _unpacked(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+    """What the gzip member at a place holds, its end, and why it is damaged ("" if it is not)."""
     unpacker = zlib.decompressobj(31)
     parts, given = [], at
     try:
         while not unpacker.eof and given < len(data):  # in steps, so that what follows the member is not copied
-            parts.append(unpacker.decompress(data[given : given + (1 << 16)]))
-            given += 1 << 16
+            parts.append(unpacker.decompress(data[given : given + step]))
+            given += step
     except zlib.error:
-        raise ValueError("gzip member") from None
-    if not unpacker.eof:
-        raise ValueError("gzip member cut short")
-    raw = b"".join(parts)
-    end, kind, headers, block = _parsed(raw, 0)
-    if end != len(raw):
-        raise ValueError("bytes after the record")
-    return min(given, len(data)) - len(unpacker.unused_data), kind, headers, block
+        # small steps give all that lies before the damage
+        return _unpacked(data, at, 256) if step > 256 else (b"".join(parts), at, "gzip member")
+    return b"".join(parts), min(given, len(data)) - len(unpacker.unused_data), "" if unpacker.eof else "gzip member cut short"
 
 
-def salvage(data: bytes) -> Iterator[Found]:
-    """All valid records of an archive in order, and the gaps between them."""
-    at, lost, why = 0, -1, ""
-    while at < len(data):
+def _at(data: bytes, at: int) -> tuple[int, list[Record], str]:
+    """The end of the record or member at a place, its valid records, and why others fail; the end of
+    a damaged one is the place itself."""
+    if data[at : at + 3] != b"\x1f\x8b\x08":
         try:
-            end, kind, headers, block = _one(data, at)
+            one = _parsed(data, at)
         except ValueError as error:
-            if lost < 0:
-                lost, why = at, str(error)
-            mark = _MARK.search(data, at + 1)
-            at = mark.start() if mark else len(data)
+            return at, [], str(error)
+        return one.end, [one], ""
+    raw, end, damage = _unpacked(data, at)
+    found, place, why = [], 0, damage or ("" if raw else "no version line")
+    while place < len(raw):
+        try:
+            one = _parsed(raw, place)
+        except ValueError as error:
+            why = why or str(error)
+            mark = _FIRST_LINE.search(raw, place + 1)
+            place = mark.start() if mark else len(raw)
             continue
-        if lost >= 0:
-            yield Found(lost, at - lost, None, {}, b"", why)
+        if not damage or (one.checked and one.end < len(raw)):
+            found.append(one)
+        place = one.end
+    return at if damage else end, found, why
+
+
+def salvage(data: bytes) -> Iterator[Found]:
+    """All valid records of an archive in order, and the gaps between them."""
+    at, lost, reason = 0, -1, ""
+    while at < len(data):
+        end, found, why = _at(data, at)
+        if lost >= 0 and (found or end > at):
+            yield Found(lost, at - lost, None, {}, b"", reason)
             lost = -1
-        yield Found(at, end - at, kind, headers, block, None)
-        at = end
+        for x in found:
+            yield Found(at, end - at, x.kind, x.headers, x.block, None)
+        if end > at:
+            if why:
+                yield Found(at, end - at, None, {}, b"", why)
+            at = end
+            continue
+        if lost < 0:
+            lost, reason = at, why
+        mark = _MARK.search(data, at + 1)
+        at = mark.start() if mark else len(data)
     if lost >= 0:
-        yield Found(lost, len(data) - lost, None, {}, b"", why)
+        yield Found(lost, len(data) - lost, None, {}, b"", reason)
 
 
 def _urn(value: str) -> str | None:
@@ -162,12 +214,12 @@ def read(spark: SparkSession, paths: list[str] | str, keep_payload: bool = True)
             for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
                 rows, size = [], 0
                 for x in salvage(data.as_py()):
-                    h = x.headers
+                    h, payload = x.headers, payload_of(x.headers, x.block)
                     length = h.get("x-payload-length", "")
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or (base32_sha1(x.block) if x.kind else None)
+                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or (base32_sha1(payload) if x.kind else None)
                     rows.append((
                         path.as_py(), x.offset, x.n_bytes, x.kind, _urn(h.get("warc-record-id", "")), h.get("warc-target-uri"), _urn(h.get("warc-refers-to", "")),
-                        int(length) if length.isdigit() else len(x.block), digest, x.block if keep_payload and x.kind else None, x.reason,
+                        int(length) if length.isdigit() else len(payload), digest, payload if keep_payload and x.kind else None, x.reason,
                     ))
                     size += len(x.block)
                     if size > 4 << 20 or len(rows) >= 5000:

@@ -50,3 +50,20 @@ def test_quarantine_log(spark, tmp_path):
     records = warc.read(spark, str(tmp_path))
     assert [(r["offset"], r["n_bytes"]) for r in warc.gaps(records).collect()] == [(0, len(a) - 5)]
     assert [hashlib.sha1(bytes(r["payload"])).digest() for r in records.filter("record_type IS NOT NULL").collect()] == [hashlib.sha1(b"two" * 30).digest()]
+
+
+def test_members_of_several_records_and_http():
+    a, b, c = packed(b"first" * 50, b"second" * 50, b"third" * 50, plain=True)
+    assert [x.block[:5] for x in warc.salvage(warc.member(a + b + c))] == [b"first", b"secon", b"third"]
+    bad = list(warc.salvage(warc.member(a + b.replace(b"second", b"sEcond") + c)))
+    assert [(x.kind, x.block[:5]) for x in bad] == [("response", b"first"), ("response", b"third"), (None, b"")] and bad[2].reason == "payload digest"
+    noise = warc.record("response", "9", "u", bytes(hashlib.sha256(bytes([i, j])).digest()[0] for i in range(200) for j in range(200)), "")
+    whole = warc.member(a + noise)
+    cut = list(warc.salvage(whole[:-200] + warc.member(c)))
+    assert [x.block[:5] for x in cut] == [b"first", b"", b"third"] and cut[1].kind is None and (cut[1].offset, cut[1].n_bytes) == (0, len(whole) - 200)
+    body = b"<p>x</p>"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    lines = ["WARC-Type: response", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{warc.base32_sha1(body)}", f"Content-Length: {len(block)}"]
+    http = warc.VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    assert [(x.kind, warc.payload_of(x.headers, x.block)) for x in warc.salvage(http)] == [("response", body)]
+    assert [x.kind for x in warc.salvage(http.replace(b"<p>x", b"<p>y"))] == [None]
