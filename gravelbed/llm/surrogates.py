@@ -151,15 +151,19 @@ def _ip(digest: Column) -> Column:
 
 
 def _name(match: Column, attempt: Column) -> Column:
-    def token(word: Column) -> Column:
+    """Given names turn within their list; a last word that is one and has to be redrawn is respelt,
+    as the turned name stays taken however often it is drawn."""
+    words = F.split(match, " ")
+
+    def token(word: Column, at: Column) -> Column:
         out = F.when(F.rtrim(word, F.lit(".")).isin(HONORIFICS), word)
         for group, names in GIVEN.items():
             turn = F.conv(F.substring(_digest(F.lit("given"), F.lit(group)), 1, 6), 16, 10).cast("int") % (len(names) - 1) + 1
             place = F.array_position(F.array(*map(F.lit, names)), word).cast("int")
-            out = out.when(place > 0, F.element_at(F.array(*map(F.lit, names)), (place - 1 + turn) % len(names) + 1))
+            out = out.when((place > 0) & ((attempt == 0) | (at < F.size(words) - 1)), F.element_at(F.array(*map(F.lit, names)), (place - 1 + turn) % len(names) + 1))
         return out.otherwise(_respelt(word, _digest(F.lit("name"), word, attempt)))
 
-    return F.array_join(F.transform(F.split(match, " "), token), " ")
+    return F.array_join(F.transform(words, token), " ")
 
 
 def surrogate(match: Column, attempts: Column) -> Column:

@@ -70,3 +70,14 @@ def test_whole_table_against_brute_force(spark, sf_dir):
         for a, b in zip(old, new, strict=True):
             assert pairs.setdefault(a, b) == b and b not in real
     assert pairs and len(set(pairs.values())) == len(pairs)
+
+
+def test_given_name_as_last_word_with_its_turn_taken(spark):
+    def new(*names):
+        docs = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id long, text string")
+        return [r["surrogate_text"] for r in surrogates.replaced(docs).orderBy("doc_id").collect()]
+
+    given = next(iter(surrogates.GIVEN.values()))[0]
+    (turned,) = new(f"Mr {given}")
+    got = new(f"Mr {given}", turned)
+    assert got[0] not in (f"Mr {given}", turned) and len(set(got)) == 2 and all(x.startswith("Mr ") for x in got)
