@@ -126,12 +126,30 @@ def _grams(keyed: DataFrame) -> DataFrame:
     return mapped(keyed, run, "digit long")
 
 
-def _ranges(doc, first, last, digit, full, seen: set, extra=()) -> pa.RecordBatch:
-    """A batch of ranges; seen: (document, digest) met before, which grows."""
-    again = []
-    for key in zip(doc.tolist(), full, strict=True):
-        again.append(key in seen)
-        seen.add(key)
+def _again(doc: np.ndarray, full: list[bytes], seen: dict[int, set]) -> list[bool]:
+    """Whether a digest came before in its document, whose rows stand together; seen: those of the last document, which changes."""
+    out: list[bool] = []
+    edge = [0, *(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist(), len(doc)]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        if a == b:
+            continue
+        if (key := int(doc[a])) not in seen:
+            seen.clear()
+            seen[key] = set()
+        had, new = seen[key], set(full[a:b])
+        if len(new) == b - a and had.isdisjoint(new):
+            out += [False] * (b - a)
+            had |= new
+            continue
+        for x in full[a:b]:
+            out.append(x in had)
+            had.add(x)
+    return out
+
+
+def _ranges(doc, first, last, digit, full, seen: dict[int, set], extra=()) -> pa.RecordBatch:
+    """A batch of ranges; seen: the digests met before in the last document, which grows."""
+    again = _again(doc, full, seen)
     columns = [pa.array(doc), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(digit), pa.array(full, pa.binary()), pa.array(again)]
     return pa.record_batch([*columns, *(pa.array(x, pa.int32()) for x in extra)], names=["doc", "first", "last", "digit", "full", "again", "anchor"][: 6 + len(extra)])
 
@@ -142,7 +160,7 @@ def _runs(keyed: DataFrame) -> DataFrame:
     def run(batches):
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, seen, before = batch.column("doc").to_numpy(), set(), -1
+            ids, seen = batch.column("doc").to_numpy(), {}
             for rows, parts in _pieces(batch):
                 blob, lengths = b"".join(parts), np.array([len(x) for x in parts])
                 first, last, anchor, d1 = runs(np.frombuffer(blob, np.uint8), lengths)
@@ -151,9 +169,6 @@ def _runs(keyed: DataFrame) -> DataFrame:
                 part = np.searchsorted(begin, first, "right") - 1
                 row, at = (np.array(x, np.int64)[part] for x in zip(*rows, strict=True))
                 shift = at - begin[part]
-                if rows[0][0] != before:
-                    seen = set()
-                before = rows[-1][0]
                 yield _ranges(ids[row], first + shift, last + shift, d1, full, seen, (anchor + shift,))
 
     return mapped(keyed, run, f"{RANGES}, anchor int")
@@ -166,7 +181,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
         digest, short = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
         for batch in batches:
             for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans")), strict=True):
-                found, seen = [], set()
+                found, seen = [], {}
                 for x in spans:
                     first, last, anchor = x["first"], x["last"], x["anchor"]
                     for near in range(anchor - (anchor - last) // BLOCK * BLOCK, first - 1, -BLOCK):
@@ -188,7 +203,7 @@ def _windows(texts: DataFrame) -> DataFrame:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans")), strict=True):
-                seen: set = set()
+                seen: dict[int, set] = {}
                 start = np.unique(np.concatenate([np.arange(x["first"], x["last"] + 1) for x in spans]))
                 for at in range(0, len(start), 50_000):
                     part = start[at : at + 50_000]
@@ -239,6 +254,16 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     return whole.unionByName(parts).unionByName(single)
 
 
+def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of one document as maximal ones in order."""
+    if not len(start):
+        return start, stop
+    order = np.argsort(start)
+    start, stop = start[order], np.maximum.accumulate(stop[order])
+    new = start[1:] > stop[:-1]
+    return start[np.append(True, new)], stop[np.append(new, True)]
+
+
 def kept_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, maximal and in order) and kept (the remaining bytes)."""
     keyed = keyed_texts(docs)
@@ -248,20 +273,19 @@ def kept_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sizes, removed, kept = [], [], []
-                for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    merged: list[list[int]] = []
-                    for start, stop in sorted((x["start"], x["stop"]) for x in found or ()):
-                        if merged and start <= merged[-1][1]:
-                            merged[-1][1] = max(stop, merged[-1][1])
-                        else:
-                            merged.append([start, stop])
-                    edge = [0, *(x for span in merged for x in span), len(text)]
-                    sizes.append(len(text))
-                    removed.append([{"start": a, "stop": b} for a, b in merged])
-                    kept.append(b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-                yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                found, texts = part.column("spans"), part.column("text").to_pylist()
+                ends = np.cumsum(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                flat = found.flatten()
+                start, stop = (flat.field(x).to_numpy() for x in ("start", "stop"))
+                spans = [merged(start[a:b], stop[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                kept = []
+                for text, (starts, stops) in zip(texts, spans, strict=True):
+                    kept.append(b"".join(text[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(text)], strict=True)))
+                sizes = [len(x) for x in texts]
+                ends = np.cumsum([0, *(len(x) for x, _ in spans)])
+                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int32()) for x in zip(*spans, strict=True)], ["start", "stop"])
+                removed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), removed, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     return mapped(keyed.join(spans, "doc", "left"), run, "doc_id long, n_bytes long, spans array<struct<start: int, stop: int>>, kept binary")
 

@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+
 from gravelbed.llm import repeats
 
 
@@ -52,3 +54,13 @@ def test_null_ids_and_repeated_rows(spark):
     got = [tuple(r) for r in repeats.kept_texts(spark.createDataFrame([(None, text), (1, text), (2, "short"), (2, "short")], "doc_id long, text string")).collect()]
     by_id = {(d, n): (spans, bytes(kept)) for d, n, spans, kept in got}
     assert len(got) == 4 and not by_id[(None, len(text))][0] and by_id[(1, len(text))][1] == b"" and by_id[(2, 5)] == ([], b"short")
+
+
+def test_spans_merge_and_digests_repeat_within_a_document():
+    start, stop = repeats.merged(np.array([50, 0, 10, 5, 90]), np.array([60, 20, 12, 21, 95]))
+    assert (start.tolist(), stop.tolist()) == ([0, 50, 90], [21, 60, 95])
+    touching = repeats.merged(np.array([7, 0]), np.array([9, 7]))
+    assert [x.tolist() for x in touching] == [[0], [9]] and not len(repeats.merged(np.empty(0), np.empty(0))[0])
+    seen: dict = {}
+    assert repeats._again(np.array([1, 1, 1, 2, 2]), [b"a", b"b", b"a", b"a", b"c"], seen) == [False, False, True, False, False]
+    assert repeats._again(np.array([2, 3]), [b"c", b"c"], seen) == [True, False] and repeats._again(np.empty(0), [], seen) == []
