@@ -73,10 +73,8 @@ def block_slices(spark, sf_dir):
 
 @query("codec_round_trip", "SELECT doc_id, strlen(coalesce(text, '')) AS n, true AS same, true AS within_bound FROM documents")
 def codec_round_trip(spark, sf_dir):
-    packed = _payloads(spark, sf_dir).withColumn("packed", codec.encoded("value"))
-    back = packed.withColumn("back", codec.decoded("packed", "n"))
-    same = (F.col("back.status") == codec.OK) & (F.col("back.plain") == F.col("value"))
-    return back.select("doc_id", "n", same.alias("same"), (F.octet_length("packed") <= blocks.expansion_bound(F.col("n"))).alias("within_bound"))
+    back = codec.round_trips(_payloads(spark, sf_dir))
+    return back.select("doc_id", "n", "same", (F.col("n_packed") <= blocks.expansion_bound(F.col("n"))).alias("within_bound"))
 
 
 @query("container_round_trip", """

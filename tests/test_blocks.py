@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gravelbed.functions import binary
 from gravelbed.operators import blocks, codec
+from gravelbed.plans import catalogue
 
 
 def test_vectors_and_round_trips():
@@ -43,3 +44,13 @@ def test_containers(spark):
 def test_checksums(spark):
     row = spark.createDataFrame([(bytes(128 << 10),)], "v binary").select(binary.adler32("v").alias("a"), binary.crc32(F.col("v")).alias("c")).first()
     assert tuple(row) == (0x001E0001, 0x7EE8CDCD) and zlib.adler32(bytes(128 << 10)) == row["a"]
+
+
+def test_round_trip_holds_a_bounded_batch(spark, sf_dir):
+    plan = catalogue.queries()["codec_round_trip"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == codec.BATCH_BYTES
+    values = [None, b"", b"ab" * 3_000_000, *(b"%d" % i * 9 for i in range(200))]
+    rows = spark.createDataFrame(list(enumerate(values)), "doc_id long, value binary").withColumn("n", F.octet_length("value").cast("long"))
+    got = {r["doc_id"]: (r["n"], r["n_packed"], r["same"]) for r in codec.round_trips(rows).collect()}
+    assert got == {i: (None, None, None) if x is None else (len(x), len(codec.encode(x)), True) for i, x in enumerate(values)}
