@@ -69,3 +69,32 @@ def test_nulls_and_clashing_names(spark, model):
     assert got[0] == got[1] and [r["n_tokens"] for r in got] == [2, 2, 0, 0] and got[2]["tokens"] == []
     assert [r["decoded"] for r in pieces.decoded(pieces.encoded(rows, model), model).collect()] == ["a b", "a b", "", ""]
     assert pieces.encoded(rows.limit(0), model).count() == 0
+
+
+def test_pairs_met_before_are_not_undone_again(model, library, monkeypatch):
+    asked = []
+    monkeypatch.setattr(pieces, "stays_apart", lambda m, one, two, f=pieces.stays_apart: asked.append(len(one)) or f(m, one, two))
+    encoder, texts = pieces.Encoder(model), [[f"{a}{b}{c}" for a in part for b in "aeiou" for c in ("ring", "rings", "red")] for part in ("bcdfg", "hklmn")]
+    for i in range(2):
+        ids, sizes = encoder.encode([f"re{t}able" for t in texts[i]] + [f"un{t}ness" for t in texts[i]])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(x.format(t)) for x in ("re{}able", "un{}ness") for t in texts[i]]
+    before = sum(asked)
+    encoder._reset()
+    encoder.encode([f"re{t}able" for t in texts[0] + texts[1]])
+    assert sum(asked) - before < before / 10
+
+
+def test_keys_that_share_a_place_are_told_apart():
+    keys = np.unique(np.random.default_rng(4).integers(0, 1 << 63, 200_000).astype(np.uint64))
+    sieve = pieces._sieve(keys)
+    assert (sieve.after >= 0).sum() > 1000
+    which, row = pieces._found(keys, sieve, np.concatenate([keys[::-1], keys + np.uint64(1)]))
+    assert np.array_equal(which[: len(keys)], np.arange(len(keys))) and np.array_equal(row[: len(keys)], np.arange(len(keys))[::-1])
+    assert np.isin(keys[row[len(keys) :]], keys + np.uint64(1)).all()
+
+
+def test_a_worker_holds_a_bounded_number_of_words(model):
+    encoder = pieces.Encoder(model)
+    for i in range(0, 400_000, 20_000):
+        encoder.encode([" ".join(map(str, range(1_000_000 + i, 1_020_000 + i)))])
+        assert len(encoder.index) == len(encoder.sizes) <= 120_000
