@@ -23,6 +23,7 @@ whole text: the bucket of a hash that most of its words of seven or more charact
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,9 +106,10 @@ def _raked_here(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float,
         worst = max((np.abs(np.bincount(place, n * np.minimum(weight, 1), len(goal)) - goal) / np.maximum(goal, 1)).max() for place, goal in plans)
         if worst <= tolerance:
             break
-    data = [(*(r[d] for d in goals), float(min(1.0, w)), bool(worst <= CALIBRATED)) for r, w in zip(rows, weight, strict=True)]
-    schema = ", ".join([*(f"`{d}` string" for d in goals), "probability double, calibrated boolean"])
-    return cells.join(F.broadcast(cells.sparkSession.createDataFrame(data, schema)), list(goals))
+    # as an Arrow table it needs no Python workers; those for a list of rows would be others than the stages' own, and stay
+    data = {d: pa.array([r[d] for r in rows], pa.string()) for d in goals}
+    data |= {"probability": pa.array(np.minimum(weight, 1.0), pa.float64()), "calibrated": pa.array([bool(worst <= CALIBRATED)] * len(rows), pa.bool_())}
+    return cells.join(F.broadcast(cells.sparkSession.createDataFrame(pa.table(data))), list(goals))
 
 
 def _raked_there(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float, rounds: int) -> DataFrame:

@@ -86,3 +86,8 @@ def test_nulls_repeats_empty_tables_and_clashing_names(spark):
     assert once.columns == docs.columns and sorted(map(str, once.collect())) == sorted(map(str, again.collect()))
     assert mixing.sampled(docs, keep_share=1.0).count() == len(rows)
     assert mixing.sampled(docs.limit(0)).count() == 0
+
+
+def test_probabilities_join_without_python_workers(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert "ExistingRDD" not in mixing.sampled(docs)._jdf.queryExecution().toString()
